@@ -225,6 +225,16 @@ def entities(docs: DataFrame, text: str, key: bytes) -> DataFrame:
     return docs.select(text).mapInArrow(found, "kind string, value string, new string").distinct()
 
 
+def drawing(key: bytes, attempt: int):
+    """A column function: type and value to the surrogate of that attempt."""
+
+    @F.arrow_udf("string")
+    def draw(kinds: pa.Array, values: pa.Array) -> pa.Array:
+        return pa.array([surrogate(key, k.as_py(), v.as_py(), attempt) for k, v in zip(kinds, values)], pa.string())
+
+    return draw
+
+
 def settle(firsts: DataFrame, key: bytes) -> DataFrame:
     """kind, value, new of the entities whose first surrogate will not do, with one that no other has. firsts: written already."""
 
@@ -243,11 +253,7 @@ def settle(firsts: DataFrame, key: bytes) -> DataFrame:
         if not again.limit(1).count():
             return settled if settled is not None else firsts.limit(0)
 
-        @F.arrow_udf("string")
-        def draw(kinds: pa.Array, values: pa.Array, attempt=attempt) -> pa.Array:
-            return pa.array([surrogate(key, k.as_py(), v.as_py(), attempt) for k, v in zip(kinds, values)], pa.string())
-
-        drawn = materialize(again.withColumn("new", draw("kind", "value")), "pii-draw")
+        drawn = materialize(again.withColumn("new", drawing(key, attempt)("kind", "value")), "pii-draw")
         again = materialize(clashing(drawn, taken), "pii-clash")
         good = drawn.join(again, ["kind", "value"], "left_anti")
         settled = good if settled is None else settled.union(good)

@@ -91,9 +91,9 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_warc, op4_chat, op5_s
 ORACLE_SQL = {
     "op10_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as vec from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as vec from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.vec, c.vec)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.vec) = len(c.vec) where q.vec_id % 100 = 0
