@@ -6,19 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .sources.twins import with_frames
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Statements that may name the frames of sources.twins.
 SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir); sql may name the frames of sources.twins."""
+    """Registers a function of (spark, sf_dir)."""
 
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = with_frames(sql)
+            SQL[name] = sql
         return f
 
     return add

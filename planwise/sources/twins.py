@@ -36,15 +36,16 @@ def frame(name: str, sql: str) -> None:
 
 def with_frames(body: str) -> str:
     """The statement, after the frames that it names, directly or by another frame."""
-    wanted: set[str] = set()
+    wanted: list[str] = []
 
-    def add(text: str) -> None:
-        for name in set(re.findall(r"[a-z_]+", text)) & FRAMES.keys() - wanted:
-            wanted.add(name)
-            add(FRAMES[name])
+    def add(text: str, within: tuple[str, ...] = ()) -> None:
+        for name in sorted(set(re.findall(r"[a-z_]+", text)) & FRAMES.keys() - {*wanted, *within}):
+            add(FRAMES[name], (*within, name))
+            if name not in wanted:
+                wanted.append(name)
 
     add(body)
     if not wanted:
         return body
-    head = ",\n".join(f"{n} as ({FRAMES[n]})" for n in FRAMES if n in wanted)
-    return f"with {head}\n{body}"
+    head = ",\n".join(f"{n} as ({FRAMES[n]})" for n in wanted)
+    return f"with recursive {head}\n{body}"
