@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import adapters
+from ..sources.adapters import derived
 from ..sources.twins import frame
 from .profile import all_stats
 from .querylog import columns_of, roles_of
@@ -55,6 +56,7 @@ frame(
 frame("indexes", "select distinct index_id, tab, cols, width from candidate")
 
 
+@derived
 def candidates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates_per_query(columns_of(spark, sf_dir))
 
@@ -89,10 +91,14 @@ def _(spark, sf_dir):
     return distinct_indexes(columns_of(spark, sf_dir).select("tab", F.array("col").alias("cols"), F.lit(1).alias("width"), F.concat("tab", F.lit("#"), "col").alias("index_id"))).select("index_id", "tab", "width")
 
 
-def role_arrays(roles: DataFrame, predicates: DataFrame, tokens_pos: bool = True) -> DataFrame:
+def role_arrays(roles: DataFrame, predicates: DataFrame) -> DataFrame:
     """query_id, tab and arrays of columns in order of appearance: joins (J), equalities (EQ), ranges (R), group_by (G), order_by (O); tables of the query."""
     listed = roles.where("role in ('group_by', 'order_by')").select("query_id", "tab", "col", F.when(F.col("role") == "group_by", "G").otherwise("O").alias("kind"), "pos").union(predicates.select("query_id", "tab", "col", "kind", "pos"))
-    arrays = [F.array_distinct(F.transform(F.filter(F.col("_l"), lambda x, k=k: x["kind"] == k), lambda x: x["col"])).alias(k) for k in ("J", "EQ", "R", "G", "O")]
+
+    def of_kind(k: str) -> Column:
+        return F.array_distinct(F.transform(F.filter("_l", lambda x: x["kind"] == k), lambda x: x["col"])).alias(k)
+
+    arrays = [of_kind(k) for k in ("J", "EQ", "R", "G", "O")]
     tables = roles.groupBy("query_id").agg(F.countDistinct("tab").alias("tables"))
     return listed.groupBy("query_id", "tab").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "col"))).alias("_l")).select("query_id", "tab", *arrays).join(tables, "query_id")
 
@@ -120,7 +126,7 @@ select distinct query_id, tab || '#' || array_to_string(cols, ',') as index_id f
   select query_id, tab, unnest(list_concat([j, list_concat(j, e, r), list_concat(e, r), list_concat(j, r), list_concat(j, e)], case when tables = 1 then [g, o] else [] end, list_transform(singles, lambda c: [c]))) as cols
   from (select query_id, tab, coalesce(list(col order by pos, col) filter (kind = 'J'), []) as j, coalesce(list(col order by pos, col) filter (kind = 'EQ'), []) as e,
       list_slice(coalesce(list(col order by pos, col) filter (kind = 'R'), []), 1, 1) as r, coalesce(list(col order by pos, col) filter (kind = 'G'), []) as g, coalesce(list(col order by pos, col) filter (kind = 'O'), []) as o, list(distinct col) as singles
-    from kinds group by query_id, tab) join (select query_id, count(distinct tab) as tables from clause_column group by query_id) using (query_id)) where len(cols) > 0""",
+    from (select query_id, tab, col, kind, pos from kinds union all select query_id, tab, col, case role when 'group_by' then 'G' else 'O' end, pos from clause_column where role in ('group_by', 'order_by')) group by query_id, tab) join (select query_id, count(distinct tab) as tables from clause_column group by query_id) using (query_id)) where len(cols) > 0""",
 )
 def _(spark, sf_dir):
     from .cost import literals_of
@@ -258,6 +264,7 @@ frame(
 )
 
 
+@derived
 def sized_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_sizes(indexes_of(spark, sf_dir), all_stats(spark, sf_dir))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import adapters
+from ..sources.adapters import derived
 from ..sources.twins import frame
 from .candidates import candidates_of, index_combinations, roles_of, shown, sized_of, subsumed_pairs
 from .profile import all_stats
@@ -43,6 +44,7 @@ frame(
 )
 
 
+@derived
 def literals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literals(typed(spark, sf_dir), adapters.catalog(spark, sf_dir))
 
@@ -102,10 +104,12 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.catalog(spark, sf_dir).select("tab", "rows").distinct()
 
 
+@derived
 def accesses_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access_costs(candidates_of(spark, sf_dir), column_selectivity(literals_of(spark, sf_dir), all_stats(spark, sf_dir)), table_rows(spark, sf_dir))
 
 
+@derived
 def scans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_costs(columns_of(spark, sf_dir), table_rows(spark, sf_dir))
 
@@ -124,6 +128,7 @@ def single_costs(scans: DataFrame, accesses: DataFrame) -> DataFrame:
 frame("single_cost", "select a.query_id, a.index_id, round(w.without, 4) as without, round(w.without - s.scan + least(s.scan, a.icost), 4) as with_cost from access_cost a join scan_cost s on a.query_id = s.query_id and a.tab = s.tab join (select query_id, sum(scan) as without from scan_cost group by query_id) w on w.query_id = a.query_id")
 
 
+@derived
 def singles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single_costs(scans_of(spark, sf_dir), accesses_of(spark, sf_dir))
 
@@ -205,6 +210,7 @@ frame(
 )
 
 
+@derived
 def costs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_costs(config_index(spark), scans_of(spark, sf_dir), accesses_of(spark, sf_dir))
 
@@ -248,6 +254,7 @@ def index_benefits(singles: DataFrame, weights: DataFrame) -> DataFrame:
 frame("index_benefits", "select index_id, round(sum((without - with_cost) * freq), 2) as benefit from single_cost join workload using (query_id) where with_cost < without group by index_id")
 
 
+@derived
 def benefits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_benefits(singles_of(spark, sf_dir), prepared(spark, sf_dir))
 
@@ -326,15 +333,15 @@ MODES = ("default", "cost_size", "negative_cost", "ratio", "benefit")
 
 
 def selection_scores(rows: DataFrame, mode: str) -> DataFrame:
-    """Adds score by mode; rows have cost, benefit, size_bytes."""
-    score = {"default": F.col("benefit") / F.col("size_bytes"), "cost_size": F.col("cost") * F.col("size_bytes"), "negative_cost": -F.col("cost"), "ratio": F.col("benefit") / F.col("size_bytes"), "benefit": F.col("benefit")}
-    return rows.withColumn("mode", F.lit(mode)).withColumn("score", F.round(score[mode], 4))
+    """Adds score by mode; rows have cost, benefit, size_bytes. cost_size is in 10^9."""
+    score = {"default": F.col("benefit") / F.col("size_bytes"), "cost_size": F.col("cost") * F.col("size_bytes") / 1e9, "negative_cost": -F.col("cost"), "ratio": F.col("benefit") / F.col("size_bytes"), "benefit": F.col("benefit")}
+    return rows.withColumn("mode", F.lit(mode)).withColumn("score", F.round(score[mode], 2))
 
 
 frame("index_totals", "select index_id, size_bytes, benefit, round((select sum(scan * freq) from scan_cost join workload using (query_id)) - benefit, 2) as cost from ratios")
 
 
-@query("selection_scores", " union all ".join(f"select index_id, '{m}' as mode, round({s}, 4) as score from index_totals" for m, s in (("default", "benefit / size_bytes"), ("cost_size", "cost * size_bytes"), ("negative_cost", "-cost"), ("ratio", "benefit / size_bytes"), ("benefit", "benefit"))))
+@query("selection_scores", " union all ".join(f"select index_id, '{m}' as mode, round({s}, 2) as score from index_totals" for m, s in (("default", "benefit / size_bytes"), ("cost_size", "cost * size_bytes / 1e9"), ("negative_cost", "-cost"), ("ratio", "benefit / size_bytes"), ("benefit", "benefit"))))
 def _(spark, sf_dir):
     base = scans_of(spark, sf_dir).join(prepared(spark, sf_dir).select("query_id", "freq"), "query_id").agg(F.sum(F.col("scan") * F.col("freq")).alias("_base"))
     rows = ratios_of(spark, sf_dir).join(F.broadcast(base)).withColumn("cost", F.round(F.col("_base") - F.col("benefit"), 2))

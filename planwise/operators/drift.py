@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import adapters
+from ..sources.adapters import derived
 from ..sources.twins import frame
 from .profile import OPERATORS, star_counts
 from .querylog import prepared, typed
@@ -64,6 +65,7 @@ frame(
 )
 
 
+@derived
 def value_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturb_values(typed(spark, sf_dir), value_pool(star_counts(spark, sf_dir)), VARIANTS)
 
@@ -165,7 +167,7 @@ def perturb_all(tokens: DataFrame, catalog: DataFrame, pool: DataFrame, variants
             r["token"] = new
         return pd.DataFrame(rows)[["query_id", "variant", "ord", "pos", "token", "original"]]
 
-    each = tokens.select("query_id", "clause", "ord", "pos", F.col("token").alias("original"), "type").withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants))).cast("int"))
+    each = tokens.select("query_id", "clause", "ord", "pos", F.col("token").alias("original"), "type").withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants))))
     return each.groupBy("query_id", "variant").applyInPandas(lambda g: vary(g), "query_id long, variant int, ord int, pos int, token string, original string")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import adapters
-from ..sources.adapters import TABLES, read
+from ..sources.adapters import TABLES, derived, read
 from ..sources.twins import frame, quoted
 
 NUMERIC = {"integer", "bigint", "double precision", "numeric", "real", "smallint"}
@@ -70,6 +70,7 @@ def column_stats(df: DataFrame, tab: str, kinds: dict[str, str], approximate: bo
     return both.select(F.lit(tab).alias("tab"), "col", "rows", share("nulls").alias("null_frac"), share("ndv").alias("dist_frac"), "ndv", "min_val", "max_val", "lo", "hi", "width")
 
 
+@derived
 def all_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [column_stats(read(spark, sf_dir, t), t, k) for t, k in TABLES.items()])
 

@@ -13,6 +13,7 @@ from ..functions import sqltext
 from ..functions.sqltext import CLAUSES
 from ..registry import query
 from ..sources import adapters
+from ..sources.adapters import derived
 from ..sources.twins import frame
 from .profile import vocabulary
 
@@ -21,6 +22,7 @@ BROADCAST_COLUMNS = 20_000
 STOP_WORDS = ["select", "from", "where", "group", "by", "having", "order", "join", "on", "and", "or", "as", "sum", "count", "avg", "min", "max", "not", "in", "like", "limit", "asc", "desc"]
 
 
+@derived
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The workload with each text once."""
     return adapters.workload(adapters.query_log(spark, sf_dir))
@@ -123,6 +125,7 @@ frame(
 )
 
 
+@derived
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_tokens(token_rows(prepared(spark, sf_dir)), adapters.catalog(spark, sf_dir))
 
@@ -200,6 +203,7 @@ def indexable_columns(queries: DataFrame, catalog: DataFrame, whole_words: bool
 frame("query_column", "select query_id, tab, col from workload join (select tab, col, count(*) over (partition by col) > 1 as ambiguous from catalog) c on contains(lower(sql), tab) and case when ambiguous then contains(lower(sql), tab || '.' || col) else contains(lower(sql), col) end")
 
 
+@derived
 def columns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexable_columns(prepared(spark, sf_dir), adapters.catalog(spark, sf_dir))
 
@@ -230,6 +234,7 @@ frame(
 )
 
 
+@derived
 def roles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clause_columns(typed(spark, sf_dir), adapters.catalog(spark, sf_dir))
 

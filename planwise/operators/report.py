@@ -120,10 +120,10 @@ def _(spark, sf_dir):
 
 def mean_performance(rows: DataFrame, keys: list[str], initial: Column, current: Column) -> DataFrame:
     """Means of the achieved cost, current / initial * 100 rounded to 2, by all prefixes of keys."""
-    return rows.withColumn("_a", F.round(current / initial * 100, 2)).rollup(*keys).agg(F.round(F.avg("_a"), 2).alias("mean"), F.count("*").alias("n"))
+    return rows.withColumn("_a", F.round(current / initial * 100, 2)).rollup(*keys).agg(F.round(F.avg("_a"), 4).alias("mean"), F.count("*").alias("n"))
 
 
-@query("mean_performance", f"select component, share, round(avg(a), 2) as mean, count(*) as n from (select component, batch % 3 as share, round(value / first * 100, 2) as a from (select *, max(value) over (partition by component) as first from {DAILY})) group by rollup (component, share)")
+@query("mean_performance", f"select component, share, round(avg(a), 4) as mean, count(*) as n from (select component, batch % 3 as share, round(value / first * 100, 2) as a from (select *, max(value) over (partition by component) as first from {DAILY})) group by rollup (component, share)")
 def _(spark, sf_dir):
     rows = daily(spark, sf_dir).withColumn("first", F.max("value").over(Window.partitionBy("component"))).withColumn("share", F.col("batch") % 3)
     return mean_performance(rows, ["component", "share"], F.col("first"), F.col("value"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.querylog import prepared, term_space, tfidf, tfidf_sql
 from ..registry import query
+from ..sources.adapters import derived
 from ..sources.twins import frame
 
 #: Operator types by their place in a channel vector.
@@ -149,6 +150,7 @@ def plan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir).select(F.col("query_id").alias("plan_id"), F.expr(PLAN_JSON).alias("plan"), (F.lit(50.0) + (F.col("query_id") * 31) % 5000).alias("actual_cost"))
 
 
+@derived
 def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_plan(plan_log(spark, sf_dir))
 
@@ -206,7 +208,7 @@ def _(spark, sf_dir):
 def pair_features(pairs: DataFrame, mode: str) -> Column:
     """Of arrays a and b: concat, difference, relative difference, or symmetric relative difference; 0 where the divisor is."""
     zip_ = lambda f: F.zip_with("a", "b", f)
-    if mode == "concat":
+    if mode == "joined":
         return F.concat("a", "b")
     if mode == "difference":
         return zip_(lambda x, y: x - y)
@@ -224,10 +226,10 @@ def plan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 frame("plan_pairs", "select x.plan_id, x.cost as a, y.cost as b from channels x join channels y on y.plan_id = x.plan_id + 5")
 
 
-@query("plan_pair_features", "select plan_id, list_transform(range(1, 18), lambda i: a[i] - b[i]) as difference, list_transform(range(1, 18), lambda i: round(case when a[i] <> 0 then (a[i] - b[i]) / a[i] else 0.0 end, 6)) as relative, list_transform(range(1, 18), lambda i: round(case when a[i] + b[i] <> 0 then (a[i] - b[i]) / (a[i] + b[i]) else 0.0 end, 6)) as symmetric, list_concat(a, b) as concat from plan_pairs")
+@query("plan_pair_features", "select plan_id, list_transform(range(1, 18), lambda i: a[i] - b[i]) as difference, list_transform(range(1, 18), lambda i: round(case when a[i] <> 0 then (a[i] - b[i]) / a[i] else 0.0 end, 6)) as relative, list_transform(range(1, 18), lambda i: round(case when a[i] + b[i] <> 0 then (a[i] - b[i]) / (a[i] + b[i]) else 0.0 end, 6)) as balanced, list_concat(a, b) as joined from plan_pairs")
 def _(spark, sf_dir):
     pairs = plan_pairs(spark, sf_dir)
-    return pairs.select("plan_id", *[pair_features(pairs, m).alias(m) for m in ("difference", "relative", "symmetric", "concat")])
+    return pairs.select("plan_id", *[pair_features(pairs, m).alias(m) for m in ("difference", "relative", "balanced", "joined")])
 
 
 def pair_labels(pairs: DataFrame) -> DataFrame:
@@ -331,7 +333,9 @@ def index_shapes(indexes: DataFrame, roles: DataFrame, compared: DataFrame) -> D
     kinds = roles.select("query_id", "tab", "col", F.when(F.col("role") == "order_by", 0).when(F.col("role") == "group_by", 1).when((F.col("role") == "predicates") & (F.col("pos") < 2000), 2).alias("k"))
     kinds = kinds.union(compared.select("query_id", "tab", "col", F.lit(3))).where("k is not null").groupBy("query_id", "tab", "col").agg(F.min("k").alias("k"))
     each = indexes.select("query_id", "index_id", "tab", F.posexplode("cols").alias("_pos", "col")).join(kinds, ["query_id", "tab", "col"], "left")
-    name = F.coalesce(F.element_at(F.array(*map(F.lit, RULES)), F.col("k") + 1), F.lit("-"))
+    name = F.lit("-")
+    for i, rule in enumerate(RULES):
+        name = F.when(F.col("k") == i, rule).otherwise(name)
     return each.groupBy("query_id", "index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", name.alias("n")))), lambda x: x["n"]), ",").alias("shape"))
 
 
@@ -486,12 +490,12 @@ def _(spark, sf_dir):
 
 
 def encode_join(nodes: DataFrame) -> DataFrame:
-    """plan_id, node_id, join: the two sides in order, or none."""
+    """plan_id, node_id, join_key: the two sides in order, or none."""
     sides = F.sort_array(F.split(F.regexp_replace("cond", r"[()]", ""), " = "))
-    return nodes.select("plan_id", "node_id", F.when(F.col("node_type").isin(*JOINS) & (F.size(sides) == 2), F.array_join(sides, " = ")).otherwise("none").alias("join"))
+    return nodes.select("plan_id", "node_id", F.when(F.col("node_type").isin(*JOINS) & (F.size(sides) == 2), F.array_join(sides, " = ")).otherwise("none").alias("join_key"))
 
 
-@query("encode_join", f"select plan_id, node_id, case when node_type in {tuple(JOINS)} and contains(cond, ' = ') then array_to_string(list_sort(string_split(regexp_replace(cond, '[()]', '', 'g'), ' = ')), ' = ') else 'none' end as join from plan_node".replace(" as join from", ' as "join" from'))
+@query("encode_join", f"select plan_id, node_id, case when node_type in {tuple(JOINS)} and contains(cond, ' = ') then array_to_string(list_sort(string_split(regexp_replace(cond, '[()]', '', 'g'), ' = ')), ' = ') else 'none' end as join_key from plan_node")
 def _(spark, sf_dir):
     return encode_join(nodes_of(spark, sf_dir))
 

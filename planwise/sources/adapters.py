@@ -5,7 +5,7 @@ One event is one execution of a query: its id picks a template, its property the
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +50,25 @@ TEMPLATES = [
 ]
 
 
+_DERIVED: dict[tuple, DataFrame] = {}
+
+
+def derived(build):
+    """A frame of (spark, sf_dir) that several queries start from: built once an application and kept, on disk where memory is short.
+
+    Such frames are a row a distinct text, plan node, candidate or column, far fewer than the log's rows.
+    """
+
+    @wraps(build)
+    def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, f"{build.__module__}.{build.__name__}", sf_dir)
+        if key not in _DERIVED:
+            _DERIVED[key] = build(spark, sf_dir).persist()
+        return _DERIVED[key]
+
+    return once
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +79,7 @@ def catalog_of(df: DataFrame, tab: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows")).select(F.lit(tab).alias("tab"), F.explode(columns).alias("c"), "rows").select("tab", "c.col", "c.ordinal", "c.type", "rows")
 
 
+@derived
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [catalog_of(read(spark, sf_dir, t).select(*TABLES[t]), t) for t in TABLES])
 
