@@ -305,8 +305,8 @@ def stream_distinct_queries(arrivals: DataFrame, late: str) -> DataFrame:
     return arrivals.withWatermark("ts", late).dropDuplicatesWithinWatermark(["query"])
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, into a table in memory; for tests and backfills."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there, appending to files in out; run again, it goes on where it stopped. For backfills and tests."""
+    q = df.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

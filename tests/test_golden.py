@@ -158,15 +158,15 @@ def test_stream_equals_batch_and_drops_late_rows(spark, sf_dir, tmp_path):
     arrivals.write.parquet(f"file://{tmp_path}/in/1")
     batch = rounds.round_windows(arrivals, "6 hours")
     stream = rounds.arrivals_stream(spark, f"file://{tmp_path}/in/*", "query string, ts timestamp, freq long")
-    done = rounds.run_to_end(rounds.stream_round_windows(stream, "6 hours", "1 hour"), "windows", f"file://{tmp_path}/c1")
+    done = rounds.run_to_end(rounds.stream_round_windows(stream, "6 hours", "1 hour"), f"file://{tmp_path}/windows", f"file://{tmp_path}/c1")
     last = batch.agg(F.max("round_start")).first()[0]
     assert {tuple(r) for r in done.collect()} | {tuple(r) for r in batch.where(F.col("round_start") == last).collect()} == {tuple(r) for r in batch.collect()}
     spark.createDataFrame([("late", arrivals.first()["ts"], 1)], "query string, ts timestamp, freq long").write.parquet(f"file://{tmp_path}/in/2")
-    again = rounds.run_to_end(rounds.stream_round_windows(stream, "6 hours", "1 hour"), "windows", f"file://{tmp_path}/c1")
+    again = rounds.run_to_end(rounds.stream_round_windows(stream, "6 hours", "1 hour"), f"file://{tmp_path}/windows", f"file://{tmp_path}/c1")
     assert not any(r["arrivals"] == 1 for r in again.collect())
-    lives = rounds.run_to_end(rounds.stream_query_store(stream, "1 day", "1 hour"), "lives", f"file://{tmp_path}/c2")
+    lives = rounds.run_to_end(rounds.stream_query_store(stream, "1 day", "1 hour"), f"file://{tmp_path}/lives", f"file://{tmp_path}/c2")
     assert lives.count() > 0 and lives.where("life_end <= life_start").count() == 0
-    first = rounds.run_to_end(rounds.stream_distinct_queries(stream, "60 days"), "firsts", f"file://{tmp_path}/c3")
+    first = rounds.run_to_end(rounds.stream_distinct_queries(stream, "60 days"), f"file://{tmp_path}/firsts", f"file://{tmp_path}/c3")
     assert first.count() == first.select("query").distinct().count() > 0
 
 
