@@ -89,6 +89,35 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_warc, op4_chat, op5_simhash, op6_toxicity, op7_mixing, op8_langid, op9_pii, op10_topk)}
 
 ORACLE_SQL = {
+    "op4_chat": """
+with b as (
+  select conv_id, turn, role, text, '<|im_start|>' || replace(replace(replace(role, '~', '~0'), '<', '~1'), '[', '~2') || chr(10) || replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2') || '<|im_end|>' || chr(10) as body
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), p as (
+  select *, coalesce(sum(ceil(length(body) / 4.0)::bigint) over (w rows between unbounded preceding and 1 preceding), 0) as begins, row_number() over w - 1 as place from b window w as (partition by conv_id order by turn, role, text)
+), s as (select *, begins // 1024 as span, place = 0 and role = 'system' as is_system from p),
+n as (select conv_id, span, lead(span) over w as nxt, lead(start) over w as nxt_start, count(*) over (partition by conv_id) as spans from (select conv_id, span, min(begins) as start from s group by conv_id, span) window w as (partition by conv_id order by span))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(body) * (1 + case when is_system then spans - 1 when nxt is not null and nxt_start - begins <= 256 then 1 else 0 end))::bigint as formatted_chars, any_value(spans) as n_windows
+from s join n using (conv_id, span) group by conv_id
+""",
+    "op7_mixing": """
+with recursive w as (select source, floor(sqrt(count(*)::double) * 1000)::bigint as w from documents where source is not null group by source),
+f as (select source, w * (1000 - n) // total as whole, w * (1000 - n) % total as rest, n from w cross join (select sum(w)::bigint as total, count(*) as n from w)),
+a as (select source, (1 + whole + (row_number() over (order by rest desc, source) <= 1000 - n - sum(whole) over ())::int)::bigint as a from f),
+l as (select list(a order by source) as aa, list(source order by source) as names, count(*) as n from a),
+sim as (
+  select -1 as slot, list_transform(range(1, n + 1), lambda i: 1::bigint) as ks, 0::bigint as chosen from l
+  union all
+  select slot + 1, list_transform(range(1, n + 1), lambda i: ks[i] + (i = best % 10000)::int::bigint), best % 10000 from (
+    select slot, ks, n, list_min(list_transform(range(1, n + 1), lambda i: case when (ks[i] - 1) * 1000 // aa[i] <= slot + 1 then (ks[i] * 1000 + aa[i] - 1) // aa[i] * 100000000 + (ks[i] - 1) * 1000 // aa[i] * 10000 + i end)) as best from sim cross join l where slot < 999)),
+t as (select slot, names[chosen] as source, row_number() over (partition by chosen order by slot) as k from sim cross join l where slot >= 0),
+d as (select doc_id, source, row_number() over (partition by source order by md5(coalesce(doc_id::varchar, '')), doc_id) - 1 as r from documents)
+select d.doc_id, d.source, r // 64 + 1 as mix_block, (r // 64 // a * 1000 + t.slot)::bigint as mix_slot, (r % 64)::int as mix_offset
+from d join a on a.source = d.source join t on t.source = d.source and t.k = r // 64 % a + 1
+""",
     "op10_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as vec from embeddings
