@@ -17,6 +17,7 @@ import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ NEW_LOWER = (
 SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 #: Entries of each generation of the memos below; two generations are kept.
-MEMO_WORDS, MEMO_CHUNKS = 220_000, 80_000
+MEMO_WORDS, MEMO_CHUNKS = 80_000, 30_000
 
 
 class Memo(dict):
@@ -181,7 +182,9 @@ def bpe_ids(path: str):
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         t = tokenizer(path)
-        return pa.array([t.encode(x.as_py()) for x in texts], pa.list_(pa.int32()))
+        raw = [t.encode_bytes(x.as_py())[0] for x in texts]
+        ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
     return ids
 
