@@ -28,8 +28,8 @@ from .shared import keyed_fraction
 
 #: At most about so many labelled texts are learned from.
 SAMPLE = 12_000
-#: Learned terms: least log-odds, least log-likelihood ratio, most terms.
-LEAST_ODDS, LEAST_RATIO, TERMS = 1.5, 45.0, 4000
+#: Learned terms: least log-odds, least log-likelihood ratio (24: one chance in a million for a term), most terms.
+LEAST_ODDS, LEAST_RATIO, TERMS = 1.5, 24.0, 4000
 #: Beginnings of words that may become terms, in letters.
 STEMS = (3, 4, 5, 6)
 #: Words that negation and reported speech hold for after their cue; factors on an insult's weight.
