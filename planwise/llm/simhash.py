@@ -71,8 +71,15 @@ def signed(x: int) -> int:
 
 
 def covering_masks(radius: int, stride: int = 1) -> list[int]:
-    """One mask a table. stride gives another code to the bits, for a second covering."""
+    """One mask a table. stride gives another code to the bits, for a second covering.
+
+    With more codes than bits the bits take the odd ones, so that no mask is empty; radius 6 is the most.
+    """
     codes = 1 << (radius + 1)
+    if codes > BITS:
+        if codes > 2 * BITS:
+            raise ValueError(f"no covering of {BITS} bits for radius {radius}")
+        return [signed(sum(1 << i for i in range(BITS) if ((2 * i + 1) * stride % codes & v).bit_count() & 1)) for v in range(1, codes)]
     return [signed(sum(1 << i for i in range(BITS) if ((i * stride + i // codes * (stride > 1)) % codes & v).bit_count() & 1)) for v in range(1, codes)]
 
 

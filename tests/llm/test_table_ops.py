@@ -116,13 +116,14 @@ def test_op5_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs, 4, 4).count() == 0
 
 
+@pytest.mark.parametrize("radius", [1, 4, 5, 6])
 @pytest.mark.parametrize("stride", [1, 3])
-def test_covering_masks_miss_no_pair(stride):
-    masks = [m % (1 << 64) for m in simhash.covering_masks(4, stride)]
+def test_covering_masks_miss_no_pair(stride, radius):
+    masks = [m % (1 << 64) for m in simhash.covering_masks(radius, stride)]
     rnd = random.Random(stride)
-    assert len(masks) == 31
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 24
     for _ in range(3000):
-        difference = sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, 5)))
+        difference = sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, radius + 1)))
         assert any(difference & m == 0 for m in masks)
 
 
