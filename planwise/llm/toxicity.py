@@ -136,7 +136,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, doc_id: str,
     triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 3, F.lit(0))), lambda i: F.slice("_w", i + 1, 3))
     rows = rows.withColumn("_w", words)
     rows = rows.withColumn("_a", F.array_min(F.transform(triples, lambda t: F.xxhash64(t)))).withColumn("_b", F.array_min(F.transform(triples, lambda t: F.xxhash64(t, F.lit(7)))))
-    return rows.drop("_w").dropDuplicates(["_a"]).dropDuplicates(["_b"]).select("id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.select("id", "text", F.col("toxic").cast("int").alias("toxic"), "_a", "_b")
+    for key in ("_a", "_b"):  # of each group the least row, so every run learns from the same texts
+        rows = rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("id", "text", "toxic", "_a", "_b")).alias("_r")).select("_r.*")
+    return rows.select("id", "text", "toxic")
 
 
 def count_terms(batches):
