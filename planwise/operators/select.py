@@ -8,6 +8,7 @@ stays short and a lost executor costs a re-read.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,22 +47,28 @@ def gains(state: DataFrame, accesses: DataFrame) -> DataFrame:
     return better.groupBy("index_id").agg(F.sum((F.col("now") - F.col("icost")) * F.col("freq")).alias("gain"))
 
 
+def best_alone(state: DataFrame, accesses: DataFrame, most: int | None) -> DataFrame:
+    """index_id, gain of the candidates with a gain: all of them, or the most best."""
+    rated = gains(state, accesses)
+    return rated if most is None else rated.orderBy(F.desc(F.round("gain", 4)), "index_id").limit(most)
+
+
 def with_index(state: DataFrame, accesses: DataFrame, chosen: str) -> DataFrame:
     own = accesses.where(F.col("index_id") == chosen).select("query_id", "tab", "icost")
     return state.join(own, ["query_id", "tab"], "left").select("query_id", "tab", F.least("now", F.coalesce("icost", "now")).alias("now"), "freq")
 
 
-def select_extend(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, budget_bytes: int, improvement: float = 1.003, most: int = 15) -> DataFrame:
+def select_extend(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, budget_bytes: int, improvement: float = 1.003, most: int | None = None) -> DataFrame:
     """step, index_id, score (gain per megabyte), cost: each step adds a single-column index or extends a chosen one.
 
     An extension takes the place of its parent, whose size it keeps paying for once. A step must bring
-    the cost below current / improvement. With a budget of 0 nothing is chosen.
+    the cost below current / improvement; it ends where none fits and does, or after most steps. With a budget of 0 nothing is chosen.
     """
     spark = sized.sparkSession
     sizes = sized.select("index_id", "tab", "width", "size_bytes", index_id(cols=F.slice("cols", F.lit(1), F.greatest(F.size("cols") - 1, F.lit(1)))).alias("parent"))
     state, chosen, used, trace = cut(weighted(scans, weights)), {}, 0, []
     current = total(state)
-    while len(trace) < most:
+    while most is None or len(trace) < most:
         own = spark.createDataFrame([(i, s) for i, s in chosen.items()], "own string, own_bytes long")
         open_ = sizes.join(F.broadcast(own), F.col("parent") == F.col("own"), "left").where("width = 1 or own is not null").withColumn("extra", F.col("size_bytes") - F.when(F.col("width") > 1, F.col("own_bytes")).otherwise(0))
         fits = open_.where((F.col("extra") + used <= budget_bytes) & ~F.col("index_id").isin(*chosen or [""]))
@@ -111,28 +118,29 @@ def losses(chosen: DataFrame, scans: DataFrame, accesses: DataFrame, weights: Da
     return chosen.join(lost, "index_id", "left").select("index_id", F.coalesce("loss", F.lit(0.0)).alias("loss"))
 
 
-def select_drop(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, count: int, start: int = 60) -> DataFrame:
-    """step, index_id, score (loss), cost of the dropped ones; it starts from the start best by benefit and drops the least loss until count remain."""
+def select_drop(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, count: int, start: int | None = None) -> DataFrame:
+    """step, index_id, score (loss), cost of the dropped ones; it starts from all with a benefit, or the start best, and drops the least loss until count remain.
+
+    An index without a benefit alone has none beside others either, so leaving it out changes no later step.
+    """
     spark = sized.sparkSession
-    base = cut(weighted(scans, weights))
-    ids = [r["index_id"] for r in gains(base, accesses).orderBy(F.desc(F.round("gain", 4)), "index_id").limit(start).collect()]
-    trace, accesses = [], cut(accesses.where(F.col("index_id").isin(*ids or [""])))
-    while len(ids) > count:
-        chosen = spark.createDataFrame([(i,) for i in ids], "index_id string")
+    chosen = cut(best_alone(cut(weighted(scans, weights)), accesses, start).select("index_id"))
+    trace, accesses, left = [], cut(accesses.join(chosen, "index_id", "left_semi")), chosen.count()
+    while left > count:
         worst = losses(chosen, scans, accesses, weights).orderBy(F.round("loss", 4), F.desc("index_id")).limit(1).collect()[0]
-        ids.remove(worst["index_id"])
+        chosen, left = cut(chosen.where(F.col("index_id") != worst["index_id"])), left - 1
         trace.append((len(trace) + 1, worst["index_id"], round(worst["loss"], 4), 0.0))
     return spark.createDataFrame(trace, TRACE)
 
 
-def select_relaxation(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, budget_bytes: int, start: int = 30) -> DataFrame:
-    """step, index_id, score (penalty), cost: from the best indexes, removals and cuts to a prefix until the budget holds.
+def select_relaxation(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, budget_bytes: int, start: int | None = None) -> DataFrame:
+    """step, index_id, score (penalty), cost: from all indexes with a benefit, or the start best, removals and cuts to a prefix until the budget holds.
 
     Each step takes the least penalty: the cost rise over the bytes saved, no more of them than still needed.
     """
     spark = sized.sparkSession
     base = cut(weighted(scans, weights))
-    ids = {r["index_id"]: r["size_bytes"] for r in gains(base, accesses).join(sized.select("index_id", "size_bytes"), "index_id").orderBy(F.desc(F.round("gain", 4)), "index_id").limit(start).collect()}
+    ids = {r["index_id"]: r["size_bytes"] for r in best_alone(base, accesses, start).join(sized.select("index_id", "size_bytes"), "index_id").collect()}
     sizes = {r["index_id"]: r["size_bytes"] for r in sized.join(subsumed_pairs(sized).select(F.col("subsumed").alias("index_id")).distinct(), "index_id", "left_semi").select("index_id", "size_bytes").collect()}
     trace = []
     while (over := sum(ids.values()) - budget_bytes) > 0:
@@ -152,16 +160,19 @@ def select_relaxation(sized: DataFrame, scans: DataFrame, accesses: DataFrame, w
     return spark.createDataFrame(trace, TRACE)
 
 
-def select_anytime(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, budget_bytes: int, seeds: int = 8, steps: int = 5) -> DataFrame:
-    """seed, indexes, cost: greedy from each of the best single indexes and from none; all seeds take a step in one job."""
+def select_anytime(sized: DataFrame, scans: DataFrame, accesses: DataFrame, weights: DataFrame, budget_bytes: int, seeds: int | None = None, steps: int | None = None) -> DataFrame:
+    """seed, indexes, cost: greedy from each single index with a benefit that fits, or the seeds best of them, and from none; all seeds take a step in one job.
+
+    It ends when no seed has an index left that gains and fits, or after the given steps.
+    """
     spark = sized.sparkSession
     base = cut(weighted(scans, weights))
-    first = [r["index_id"] for r in gains(base, accesses).join(sized.where(F.col("size_bytes") <= budget_bytes), "index_id").orderBy(F.desc(F.round("gain", 4)), "index_id").limit(seeds).collect()]
-    size = {r["index_id"]: r["size_bytes"] for r in sized.select("index_id", "size_bytes").where(F.col("index_id").isin(*first or [""])).collect()}
-    sets = {s: [s] if s else [] for s in ["", *first]}
+    fitting = accesses.join(sized.where(F.col("size_bytes") <= budget_bytes).select("index_id"), "index_id", "left_semi")
+    size = {r["index_id"]: r["size_bytes"] for r in best_alone(base, fitting, seeds).join(sized.select("index_id", "size_bytes"), "index_id").orderBy(F.desc(F.round("gain", 4)), "index_id").collect()}
+    sets = {s: [s] if s else [] for s in ["", *size]}
     used = {s: size.get(s, 0) for s in sets}
     costs = {}
-    for step in range(steps + 1):
+    for step in itertools.count():
         rows = spark.createDataFrame([(s, i) for s, ids in sets.items() for i in ids], "seed string, index_id string")
         best = accesses.join(F.broadcast(rows), "index_id").groupBy("seed", "query_id", "tab").agg(F.min("icost").alias("_i"))
         room = spark.createDataFrame([(s, budget_bytes - u) for s, u in used.items()], "seed string, room long")
@@ -219,7 +230,7 @@ def budget(spark: SparkSession, sf_dir: str, share: float = 0.2) -> int:
 
 @query("select_extend")
 def _(spark, sf_dir):
-    return select_extend(*inputs(spark, sf_dir), budget(spark, sf_dir), most=4)
+    return select_extend(*inputs(spark, sf_dir), budget(spark, sf_dir))
 
 
 @query("select_auto_admin")
@@ -229,17 +240,17 @@ def _(spark, sf_dir):
 
 @query("select_drop")
 def _(spark, sf_dir):
-    return select_drop(*inputs(spark, sf_dir), 8, 12)
+    return select_drop(*inputs(spark, sf_dir), 8)
 
 
 @query("select_relaxation")
 def _(spark, sf_dir):
-    return select_relaxation(*inputs(spark, sf_dir), budget(spark, sf_dir), 12)
+    return select_relaxation(*inputs(spark, sf_dir), budget(spark, sf_dir))
 
 
 @query("select_anytime")
 def _(spark, sf_dir):
-    return select_anytime(*inputs(spark, sf_dir), budget(spark, sf_dir), 4, 2)
+    return select_anytime(*inputs(spark, sf_dir), budget(spark, sf_dir))
 
 
 @query("select_swap_variations")
