@@ -8,7 +8,8 @@ address its private or public range, a name the gender that its title shows. The
 the same surrogate wherever it stands (coreference).
 
 Distinctness is checked over the corpus: entities whose surrogate is another's, or some real value,
-draw again with the next attempt until none is left. Those few, the exceptions, go to the rewriting
+draw again with the next attempt until none is left; every fourth attempt lengthens names, local parts,
+secrets and phone numbers by one more, so there is always room. Those few, the exceptions, go to the rewriting
 tasks as a broadcast while they are fewer than EXCEPTIONS, and by a join on the text's digest beyond.
 
 Null texts stay null, empty ones empty, without entities. Repeated rows are rewritten alike. Texts
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,8 @@ from .shared import materialize
 KEY = b"surrogate key"
 #: So many exceptions are broadcast at the most, of at most 200 bytes each.
 EXCEPTIONS = 100_000
-ATTEMPTS = 50
+#: After so many attempts surrogates are longer by one more.
+LENGTHEN = 4
 
 DIGITS = re.compile(r"(?<![\w@])\+?\(?\d[\d().:/ -]*\d(?![\w@])")
 IPV4 = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
@@ -41,6 +44,7 @@ CARD = re.compile(r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3\d{3}[ -]?\d{6}[ -]?\d{5
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 LOCAL, DOMAIN = re.compile(r"[\w.%+-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 SECRET = re.compile(r"\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?([A-Za-z0-9_/+=.~-]{8,})", re.I)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Titles that show a person, by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Sir")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Signora", "Lady")
@@ -94,7 +98,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((start, domain.end(), "email", text[start : domain.end()].lower()))
         at = text.find("@", at + 1)
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret", m[1]) for m in SECRET.finditer(text)]
+        found += [(m.start(1), m.end(1), "secret", m[1]) for m in SECRET.finditer(text) if any(c.isalnum() for c in m[1])]
     for m in DIGITS.finditer(text):
         found += [(a, b, kind, text[a:b] if kind == "ip" else re.sub(r"\D", "", text[a:b])) for a, b, kind in of_digits(text, m.start(), m.end())]
     found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text)] if IBAN_HINT.search(text) else []
@@ -127,8 +131,8 @@ def other_letter(c: str, n: int) -> str:
     else:
         low_cp = ord(low) if len(low) == 1 else 0
         span = next(((a, b) for a, b in ALPHABETS if a <= low_cp <= b), None)
-        if span is None:
-            return c
+        if span is None:  # letters of other scripts
+            return chr(97 + n % 26)
         new = chr(span[0] + n % (span[1] - span[0] + 1))
     return new.upper() if c != low else new
 
@@ -147,6 +151,11 @@ def scramble(value: str, numbers) -> str:
     return "".join(out)
 
 
+def more(attempt: int, numbers, of: str) -> str:
+    """What lengthens a surrogate."""
+    return "".join(of[next(numbers) % len(of)] for _ in range(attempt // LENGTHEN))
+
+
 def script(value: str) -> str:
     c = next((ord(c) for c in value if c.isalpha()), 97)
     return "cyrillic" if 0x400 <= c <= 0x52F else "greek" if 0x370 <= c <= 0x3FF else "latin"
@@ -160,9 +169,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
         own = stream(key, "domain", domain, 0)  # one domain, one surrogate
-        return f"{scramble(local, numbers)}@{scramble(host, own)}.{top}"
+        return f"{scramble(local, numbers)}{more(attempt, numbers, LETTERS)}@{scramble(host, own)}.{top}"
     if kind == "ip":
         octets = value.split(".")
+        if octets[:2] == ["192", "168"] and attempt >= LENGTHEN:
+            octets[0] = "10"  # the larger private range
         keep = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] else 0
         new = [str(next(numbers) % 254 + 1) for _ in octets[keep:]]
         if not keep and new[0] in ("10", "127", "192"):
@@ -174,23 +185,24 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return body + (valid if luhn(value) == 0 else str((int(valid) + 1 + next(numbers) % 9) % 10))
     if kind == "phone":
         keep = max(0, len(value) - 10)  # the country code, where the number is long enough to have one
-        return value[:keep] + "".join(str(next(numbers) % 10) for _ in value[keep:])
+        return value[:keep] + "".join(str(next(numbers) % 10) for _ in value[keep:]) + more(attempt, numbers, "0123456789")
     if kind == "iban":
         return value[:2] + scramble(value[2:], numbers)
     if kind.startswith("person"):
         syllables, ending = SYLLABLES[script(value)]
         words = re.split(r"([ -])", value)
-        made = ["".join(syllables[next(numbers) % len(syllables)] for _ in range(3)) for _ in words[::2]]
+        made = ["".join(syllables[next(numbers) % len(syllables)] for _ in range(3 + attempt // LENGTHEN)) for _ in words[::2]]
         made[0] += ending[kind[-1]]
         return "".join(w + s for w, s in zip(made, [*words[1::2], ""]))
-    return scramble(value, numbers)
+    made = scramble(value, numbers)
+    return made + more(attempt, numbers, "abcdef" if kind == "secret" else LETTERS) if kind != "ssn" else made
 
 
 def in_form(kind: str, seen: str, new: str) -> str:
     """The new canonical value with the separators and capitals of the seen text."""
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(new)
-        return "".join(next(chars, "") if c.isalnum() else c for c in seen)
+        return "".join([*(next(chars, "") if c.isalnum() else c for c in seen), *chars])
     if kind == "email":
         return "".join(n.upper() if s.isupper() else n for s, n in zip(seen, new)) if len(seen) == len(new) else new
     if kind.startswith("person"):
@@ -249,7 +261,7 @@ def settle(firsts: DataFrame, key: bytes) -> DataFrame:
 
     again = materialize(clashing(firsts, None), "pii-clash")
     taken, settled = firsts.join(again, ["kind", "value"], "left_anti").select("kind", "new"), None
-    for attempt in range(1, ATTEMPTS + 1):
+    for attempt in count(1):
         if not again.limit(1).count():
             return settled if settled is not None else firsts.limit(0)
 
@@ -258,7 +270,6 @@ def settle(firsts: DataFrame, key: bytes) -> DataFrame:
         good = drawn.join(again, ["kind", "value"], "left_anti")
         settled = good if settled is None else settled.union(good)
         taken = taken.union(good.select("kind", "new"))
-    raise RuntimeError(f"surrogates still clash after {ATTEMPTS} attempts")
 
 
 RESULT = "text string, entities array<struct<kind:string,start:int,end:int>>"
