@@ -42,8 +42,17 @@ NEW_LOWER = (
 #: What the pattern's white space is; str.split() also parts at U+001C to U+001F.
 SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
-#: Entries of each generation of the memos below; two generations are kept.
-MEMO_WORDS, MEMO_CHUNKS = 80_000, 30_000
+#: Marks that the library, of an older Unicode version, neither reorders nor composes.
+STARTERS = regex.compile(
+    "[\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070"
+    "\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99"
+    "\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136"
+    "\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef]"
+)
+
+#: Pieces of each generation of the memo; two generations are kept, of some 300 bytes a piece.
+MEMO = 400_000
 
 
 class Memo(dict):
@@ -64,6 +73,17 @@ class Memo(dict):
         return value
 
 
+def composed(text: str) -> str:
+    """Normalization form C as the library has it: starters of its own part the text."""
+    if unicodedata.is_normalized("NFC", text) and not STARTERS.search(text):
+        return text
+    out, at = [], 0
+    for m in STARTERS.finditer(text):
+        out += [unicodedata.normalize("NFC", text[at : m.start()]), m[0]]
+        at = m.end()
+    return "".join([*out, unicodedata.normalize("NFC", text[at:])])
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -94,8 +114,7 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [self.ids.get(symbols[b]) for b in range(256)]
         self.final = [self.ids.get(symbols[b] + self.end) for b in range(256)]
-        self.words = Memo(self.encode_word, MEMO_WORDS)
-        self.chunks = Memo(self.encode_chunk, MEMO_CHUNKS)
+        self.pieces = Memo(self.encode_piece, MEMO)
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their decoded text."""
@@ -105,13 +124,15 @@ class WordBpe:
         if None in symbol:
             symbol = [s for s in symbol if s is not None]
         n, rank, merge = len(symbol), self.rank.get, self.merge
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank(symbol[i] << 20 | symbol[i + 1])) is not None]
+        shift = max(10, n.bit_length())  # a heap entry is rank and position in one small integer
+        place = (1 << shift) - 1
+        heap = [r << shift | i for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (r := rank(a << 20 | b)) is not None]
         heapify(heap)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
             top = heappop(heap)
-            i = top & 0xFFFFFFFF
-            a, b, new = merge[top >> 32]
+            i = top & place
+            a, b, new = merge[top >> shift]
             j = right[i]
             if symbol[i] != a or j >= n or symbol[j] != b:
                 continue  # stale
@@ -120,18 +141,19 @@ class WordBpe:
             if k < n:
                 left[k] = i
                 if (r := rank(new << 20 | symbol[k])) is not None:
-                    heappush(heap, r << 32 | i)
+                    heappush(heap, r << shift | i)
             if (h := left[i]) >= 0 and (r := rank(symbol[h] << 20 | new)) is not None:
-                heappush(heap, r << 32 | h)
+                heappush(heap, r << shift | h)
         ids = [s for s in symbol if s >= 0]
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
-    def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The same of a piece between white space."""
-        words = (self.word if max(chunk) < "\u0558" else self.wide_word).findall(chunk)
+    def encode_piece(self, piece: str) -> tuple[bytes, str]:
+        """The same of a piece between white space; its words are pieces themselves, and remembered as such."""
+        words = (self.word if piece.isascii() or max(piece) < "\u0558" else self.wide_word).findall(piece)
         if len(words) == 1:
-            return self.words[words[0]]
-        parts = [self.words[w] for w in words]
+            return self.encode_word(words[0])
+        pieces = self.pieces
+        parts = [pieces[w] for w in words]
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
@@ -146,8 +168,7 @@ class WordBpe:
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
         if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+            text = composed(text)
             text = text.replace("Σ", "σ")  # lower case is by character: no final sigma
             if max(text) > "\u1c88":
                 text = text.translate(NEW_LOWER)
@@ -156,12 +177,14 @@ class WordBpe:
             pieces = [p for p in regex.split(SPACES, text) if p]
         else:
             pieces = text.split()
-        chunks = self.chunks
-        return [chunks[p] for p in pieces]
+        return list(map(self.pieces.__getitem__, pieces))
 
     def encode_bytes(self, text: str | None) -> tuple[bytes, str]:
-        parts = self.parts(text) if text else []
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+        parts = self.parts(text) if text else None
+        if not parts:
+            return b"", ""
+        ids, strings = zip(*parts)
+        return b"".join(ids), " ".join(filter(None, strings))
 
     def encode(self, text: str | None) -> list[int]:
         return memoryview(self.encode_bytes(text)[0]).cast("I").tolist() if text else []

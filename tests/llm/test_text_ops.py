@@ -37,11 +37,20 @@ def test_bpe_equals_library_on_odd_texts(library):
 
 def test_bpe_memos_do_not_change_results(library):
     own = bpe.WordBpe(PATH)
-    own.words.size = own.chunks.size = 3
+    own.pieces.size = 3
     for text in ("the thing in the thing", "one, two; one, two; three three one", "the thing in the thing"):
         check_bpe(library, own, text)
 
 
+def test_bpe_equals_library_on_mixed_scripts(library):
+    own, rnd = bpe.WordBpe(PATH), random.Random(5)
+    spans = [(33, 127), (0xC0, 0x250), (0x370, 0x590), (0x300, 0x370), (0x591, 0x5BE), (0x898, 0x8E2), (0xEB8, 0xEBB), (0x1AB0, 0x1ACF), (0x900, 0xE00), (0x1100, 0x1300)]
+    spans += [(0x1E00, 0x2000), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x10D00, 0x10D70), (0x11900, 0x11950), (0x1F600, 0x1F650), (9, 33)]
+    for _ in range(3000):
+        some = rnd.sample(spans, rnd.randint(1, 4))
+        check_bpe(library, own, "".join(chr(rnd.randrange(*rnd.choice(some))) for _ in range(rnd.randint(0, 60))))
+
+
 def test_op1_on_a_table(spark, sf_dir, library):
     texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
     rows = queries.op1_bpe(spark, sf_dir).collect()
