@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local one serves a local session; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -64,3 +66,26 @@ def running_total(df: DataFrame, group: list[str], chunk: Column, order: list, v
         .withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)) + F.col("_offset"))
         .drop("_chunk", "_offset", "_o_chunk", *[f"_o_{g}" for g in group])
     )
+
+
+#: A key is hot if more than one row in HOT has it; so there are fewer than HOT of them, and they may be broadcast.
+HOT = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """The inner join on key. right has each key once; its column rows says how often left has it, and is dropped.
+
+    Hot keys meet in a broadcast join of fewer than HOT rows, so no task gets more than 1/HOT of left for one key.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot, rest = right.where(F.col(rows) * HOT > total).drop(rows), right.where(F.col(rows) * HOT <= total).drop(rows)
+    few = hot.count()
+    if not few:
+        return left.join(rest, key)
+    keys = [r[0] for r in hot.select(key).collect()]  # fewer than HOT
+    is_hot = F.col(key).isin(keys)
+    return left.where(is_hot).join(F.broadcast(hot), key).union(left.where(~is_hot).join(rest, key))
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

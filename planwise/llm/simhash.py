@@ -7,8 +7,8 @@ v > 0 solves them all, and in its table the two fingerprints are equal: no linke
 
 Texts with equal fingerprints are one node. Buckets of two are compared in place; larger ones walk
 breadth-first from fingerprint to fingerprint, each step against those not yet reached, and return
-a star; buckets beyond SPLIT nodes are dealt anew by a second covering of the bits they do not
-share. Components come from alternating large-star and small-star steps. Nothing about all
+a star. Buckets beyond SPLIT nodes are dealt anew by another covering, to those that agree in its bits
+too, up to LEVELS times; then 13 bits at most are open, so no bucket has more than 8192 nodes. Components come from alternating large-star and small-star steps. Nothing about all
 documents reaches the driver but counts.
 
 Null texts and texts without words have fingerprint zero and link like any other. A text shorter
@@ -18,6 +18,7 @@ keeps its row and never is a component's id. Other columns play no part. An empt
 
 from __future__ import annotations
 
+import hashlib
 from itertools import repeat
 
 import numpy as np
@@ -27,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import join_skewed, materialize, partitions
 
 SEED, BITS = 42, 64
-#: Larger buckets are dealt anew by a second covering.
-SPLIT = 4096
+#: Larger buckets are dealt anew by another covering, of so many in all.
+SPLIT, LEVELS = 4096, 4
 #: Hashes that are unpacked to bits at a time.
 UNPACKED = 1 << 15
 
@@ -70,17 +71,17 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def covering_masks(radius: int, stride: int = 1) -> list[int]:
-    """One mask a table. stride gives another code to the bits, for a second covering.
+def covering_masks(radius: int, level: int = 0) -> list[int]:
+    """One mask a table. Each level gives the codes to the bits in another keyed order.
 
     With more codes than bits the bits take the odd ones, so that no mask is empty; radius 6 is the most.
     """
     codes = 1 << (radius + 1)
-    if codes > BITS:
-        if codes > 2 * BITS:
-            raise ValueError(f"no covering of {BITS} bits for radius {radius}")
-        return [signed(sum(1 << i for i in range(BITS) if ((2 * i + 1) * stride % codes & v).bit_count() & 1)) for v in range(1, codes)]
-    return [signed(sum(1 << i for i in range(BITS) if ((i * stride + i // codes * (stride > 1)) % codes & v).bit_count() & 1)) for v in range(1, codes)]
+    if codes > 2 * BITS:
+        raise ValueError(f"no covering of {BITS} bits for radius {radius}")
+    order = sorted(range(BITS), key=lambda i: hashlib.blake2b(bytes([level, i])).digest()) if level else range(BITS)
+    code = {bit: (2 * i + 1) % codes if codes > BITS else i % codes for i, bit in enumerate(order)}
+    return [signed(sum(1 << i for i in range(BITS) if (code[i] & v).bit_count() & 1)) for v in range(1, codes)]
 
 
 def reach(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -108,9 +109,13 @@ def bucket_stars(radius: int):
 
 
 def tables(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """(tab, key, fp): every fingerprint in every table."""
-    keys = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    return nodes.select("fp", F.explode(keys).alias("_k")).select("_k.tab", "_k.key", "fp")
+    """(tab, kept, key, fp): every fingerprint in every table, with the bits that its key keeps. nodes may come dealt already."""
+    if "tab" in nodes.columns:
+        tab, kept = F.col("tab") * len(masks), F.col("kept")
+    else:
+        tab, kept = F.lit(0).cast("long"), F.lit(0).cast("long")
+    keys = F.array(*[F.struct((tab + i).alias("tab"), kept.bitwiseOR(F.lit(m)).alias("kept")) for i, m in enumerate(masks)])
+    return nodes.select("fp", F.explode(keys).alias("_k")).select("_k.tab", "_k.kept", F.col("fp").bitwiseAND(F.col("_k.kept")).alias("key"), "fp")
 
 
 def buckets(dealt: DataFrame) -> DataFrame:
@@ -124,26 +129,23 @@ def pairs(found: DataFrame, radius: int) -> DataFrame:
 
 def links(nodes: DataFrame, radius: int, split: int = SPLIT) -> DataFrame:
     """(a, b), a < b in each bucket's order: enough links within the radius to join what is linked. nodes: fp, each once."""
-    dealt = tables(nodes, covering_masks(radius))
-    found = materialize(buckets(dealt), "simhash-buckets")
-    out = pairs(found, radius)
-    small = found.where(f"n > 2 and n <= {split}").select("tab", "key")
-    walked = dealt.join(small, ["tab", "key"]).groupBy("tab", "key").applyInPandas(bucket_stars(radius), "a long, b long")
-    out = out.union(walked)
-    if found.where(f"n > {split}").limit(1).count():
-        masks, second = covering_masks(radius), covering_masks(radius, 3)
-        kept = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("tab") + 1)
-        inner = F.array(*[F.struct(F.lit(i).alias("sub"), F.col("fp").bitwiseAND(kept.bitwiseOR(F.lit(m))).alias("subkey")) for i, m in enumerate(second)])
-        again = dealt.join(found.where(f"n > {split}").select("tab", "key"), ["tab", "key"]).select((F.col("tab") * len(second)).alias("_t"), "fp", F.explode(inner).alias("_k"))
-        again = again.select((F.col("_t") + F.col("_k.sub")).alias("tab"), F.col("_k.subkey").alias("key"), "fp")
-        sub = materialize(buckets(again), "simhash-split")
-        walked = again.join(sub.where("n > 2").select("tab", "key"), ["tab", "key"]).groupBy("tab", "key").applyInPandas(bucket_stars(radius), "a long, b long")
-        out = out.union(pairs(sub, radius)).union(walked)
+    dealt, out = nodes, None
+    for level in range(LEVELS):
+        dealt = tables(dealt, covering_masks(radius, level))
+        found = materialize(buckets(dealt), "simhash-buckets")
+        large = found.where(f"n > {split}").select("tab", "key") if level + 1 < LEVELS else found.where("false")
+        small = found.where("n > 2").join(large, ["tab", "key"], "left_anti").select("tab", "key")
+        walked = dealt.join(small, ["tab", "key"]).groupBy("tab", "key").applyInPandas(bucket_stars(radius), "a long, b long")
+        both = pairs(found, radius).union(walked)
+        out = both if out is None else out.union(both)
+        if not large.limit(1).count():
+            break
+        dealt = materialize(dealt.join(large, ["tab", "key"]).select("tab", "kept", "fp"), "simhash-crowded")
     return out.distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): every node of an edge with the least node of its component. edges: a, b, longs.
+    """(node, root): every node of an edge but the least of its component, with that. edges: a, b, longs.
 
     Large-star hangs each node's larger neighbours on the least one, small-star its smaller ones;
     the stars that stay unchanged are the components. Each round is written, so lineage stays short.
@@ -180,14 +182,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int, radius: int, doc_id: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """doc_id, fp (signed fingerprint) and component_id, the least doc_id that links reach."""
+    spark = docs.sparkSession
     text = F.col(text) if isinstance(text, str) else text
     marked = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(width)(text).alias("fp")), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id"), "components")
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    roots = components(links(nodes.select("fp").repartition(partitions(spark), "fp"), radius))
+    rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = materialize(join_skewed(rooted.select("root", "fp", "rows"), ids, "root", "n").select("fp", "component_id", "rows"), "components")
+    return join_skewed(marked, named, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:

@@ -117,10 +117,10 @@ def test_op5_odd_rows(odd_docs, no_docs):
 
 
 @pytest.mark.parametrize("radius", [1, 4, 5, 6])
-@pytest.mark.parametrize("stride", [1, 3])
-def test_covering_masks_miss_no_pair(stride, radius):
-    masks = [m % (1 << 64) for m in simhash.covering_masks(radius, stride)]
-    rnd = random.Random(stride)
+@pytest.mark.parametrize("level", [0, 1, 3])
+def test_covering_masks_miss_no_pair(level, radius):
+    masks = [m % (1 << 64) for m in simhash.covering_masks(radius, level)]
+    rnd = random.Random(level)
     assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 24
     for _ in range(3000):
         difference = sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, radius + 1)))
@@ -144,6 +144,13 @@ def test_links_join_what_is_near(spark, split):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_all_levels_leave_few_bits_open():
+    kept = {0}
+    for level in range(simhash.LEVELS):
+        kept = {k | m % (1 << 64) for k in kept for m in simhash.covering_masks(4, level)}
+    assert 64 - min(k.bit_count() for k in kept) <= 13
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200) if i != 100] + [(-5, -5)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
