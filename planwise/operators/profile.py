@@ -65,7 +65,7 @@ def extremes(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 def column_stats(df: DataFrame, tab: str, kinds: dict[str, str], approximate: bool = False) -> DataFrame:
     """tab, col, rows, null_frac, dist_frac, ndv, min_val, max_val, lo, hi, width."""
-    share = lambda n: F.round(F.col(n) / F.greatest(F.col("rows"), F.lit(1)), 4)
+    share = lambda n: F.expr(f"(({n} * 20000 + rows) div (2 * greatest(rows, 1))) / 10000.0D")  # to 4 places, halves up, in whole numbers
     both = distinct_stats(df, kinds, approximate).join(F.broadcast(extremes(df, kinds)), "col")  # a row a column
     return both.select(F.lit(tab).alias("tab"), "col", "rows", share("nulls").alias("null_frac"), share("ndv").alias("dist_frac"), "ndv", "min_val", "max_val", "lo", "hi", "width")
 
@@ -81,12 +81,16 @@ def sql_text(c: str, kind: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if kind.startswith("timestamp") else c
 
 
+def sql_share(n: str) -> str:
+    return f"(({n} * 20000 + count(*)) // (2 * greatest(count(*), 1)))::double / 10000"
+
+
 def sql_stats(tab: str, c: str, kind: str) -> str:
     fixed = {"integer": 4, "bigint": 8, "double precision": 8}
     width = f"round(avg(strlen({c})), 4)" if kind.startswith("character") else f"{fixed.get(kind, 8)}.0"
     number = kind in NUMERIC
     return (
-        f"select {quoted(tab)} as tab, {quoted(c)} as col, count(*) as rows, round(count(*) filter ({c} is null) / count(*), 4) as null_frac, round(count(distinct {c}) / count(*), 4) as dist_frac, count(distinct {c}) as ndv, "
+        f"select {quoted(tab)} as tab, {quoted(c)} as col, count(*) as rows, {sql_share(f'count(*) filter ({c} is null)')} as null_frac, {sql_share(f'count(distinct {c})')} as dist_frac, count(distinct {c}) as ndv, "
         f"{sql_text(f'min({c})', kind)} as min_val, {sql_text(f'max({c})', kind)} as max_val, {f'min({c})::double' if number else 'null::double'} as lo, {f'max({c})::double' if number else 'null::double'} as hi, {width} as width from {tab}"
     )
 
