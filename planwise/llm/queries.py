@@ -61,7 +61,7 @@ def toxicity_grammar(docs: DataFrame, labels: DataFrame) -> toxicity.Grammar:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = toxicity_grammar(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(docs, grammar).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), toxicity.toxicity(docs, grammar).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -73,7 +73,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages, matrix = langid.learn(docs.where(fold("doc_id", 3) != 1))
-    return docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), langid.identify(docs, languages, matrix).alias("_p")).select("doc_id", "held_out", "_p.lang_pred", "_p.score")
+    return docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), langid.identify(docs, languages, matrix).alias("_p")).select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

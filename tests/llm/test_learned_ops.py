@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -21,6 +22,27 @@ def auc(scores, labels):
     return (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
 
 
+def test_the_composed_machine_sums_over_each_match_in_its_context():
+    g, rnd = toxicity.Grammar({"idiot": 3.0, "moron*": 2.0, "no": 1.5, "you": 0.5}, np.zeros(5)), random.Random(1)
+
+    def by_hand(words):
+        target = any(w in toxicity.TARGET for w in words)
+        out = [0.0, 0.0, 0.0]
+        for i, w in enumerate(words):
+            near = words[max(0, i - toxicity.REACH) : i]
+            negated, reported = any(x in toxicity.NEGATION for x in near), any(x in toxicity.REPORT for x in near)
+            factor = (toxicity.NEGATED if negated else 1.0) * (toxicity.REPORTED if reported else 1.0)
+            if weight := g.insult(w):
+                out[1 if negated or reported else 0] += weight * factor * (toxicity.TARGETED if target else 1.0)
+            elif w in toxicity.THREAT and target and not negated:
+                out[2] += toxicity.THREAT_WEIGHT * factor
+        return out
+
+    for _ in range(500):
+        words = [rnd.choice("idiot morons no you kill said not tuer the a b c d e ihr".split()) for _ in range(rnd.randint(0, 14))]
+        assert np.allclose(g.clause(words), by_hand(words)), words
+
+
 def test_op6_on_held_out_rows(spark):
     rows = {r["doc_id"]: r for r in queries.op6_toxicity(spark, WIDER).collect()}
     assert len(rows) == table(spark, WIDER, "documents").count()
