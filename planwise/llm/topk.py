@@ -1,15 +1,15 @@
 """Exact top-k by inner product, without random access.
 
-Every dimension is a list of a block's vectors sorted by their component; a query reads it from the
-top where its own component is positive, from the bottom where it is negative. After each step a
-vector's score lies between a lower bound (unread components at the list's far end) and an upper one
-(unread components at the reading position). Depth doubles until no vector outside the candidates
-can reach the k-th lower bound; only the candidates' scores are then resolved. A task carries each
-query's k-th score from block to block, so later blocks start with a threshold.
+Every dimension is a list of a block's vectors sorted by their component; a query reads the lists of
+its dimensions in sequence, from the top where its own component is positive and from the bottom where
+it is negative, a window of every list a round. What has been read of a vector adds up to its sum; what
+has not lies between the list's far end and its reading position, so each vector has a lower and an
+upper bound. Windows double until few vectors can still reach the k-th lower bound; all others, those that
+no list has shown included, cannot qualify. Only the few have their scores resolved. A task carries
+each query's k-th score from block to block, so later blocks start with a threshold.
 
-Bounds of all vectors against all queries of a block are two matrix products a step: a clipped copy
-of the block against the positive and against the negative parts of the queries. Values are
-integers; products stay exact in doubles below 2^53, and larger ones use 64-bit integers.
+Values are integers; sums stay exact in doubles below 2^53. Blocks whose products might pass that are
+scored whole in 64-bit integers.
 
 Vectors that are null, empty, or hold null or non-finite components take no part; vectors meet only
 those of their own length. A query's own row is every row with its vec_id. Rows that repeat are
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block; queries that one pass carries; bytes of queries that one broadcast may hold.
 BLOCK, QUERIES, BROADCAST_BYTES = 2048, 256, 32 << 20
-FIRST_DEPTH = 1 / 16
+#: The first window's share of a list; so many times k candidates are few.
+FIRST_WINDOW, FEW = 1 / 16, 4
 
 
 def usable(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -46,6 +47,7 @@ class Running:
         self.ids, self.matrix, self.k = ids, matrix, k
         self.best: list[np.ndarray] = [np.empty((0, 2), np.int64) for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
+        self.read = self.resolved = 0  # entries of lists, and scores
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         rows = np.concatenate([self.best[q], np.stack([scores, ids], 1)])
@@ -55,48 +57,73 @@ class Running:
             self.floor[q] = rows[-1, 0]
 
 
+def fits(block: np.ndarray, query: np.ndarray) -> bool:
+    """Whether every sum of products is exact in doubles."""
+    return float(np.abs(block).max(initial=0)) * float(np.abs(query).sum()) < 1 << 53
+
+
 def exact(block: np.ndarray, query: np.ndarray) -> np.ndarray:
-    if max(np.abs(block).max(initial=0), np.abs(query).max(initial=0)) < 1 << 22:
+    if fits(block, query):
         return (block @ query).astype(np.int64)
     return block.astype(np.int64) @ query.astype(np.int64)
 
 
+class Lists:
+    """A block's vectors by falling and by rising component, one list a dimension."""
+
+    def __init__(self, block: np.ndarray):
+        order = np.argsort(block, axis=0, kind="stable")
+        values = np.take_along_axis(block, order, 0)
+        self.falling, self.rising = (order[::-1], values[::-1]), (order, values)
+
+    def of(self, query: np.ndarray):
+        """The lists that a query reads: (rows, components, dimensions), the best contributions first."""
+        return [(*lists, dims) for lists, dims in ((self.falling, np.flatnonzero(query > 0)), (self.rising, np.flatnonzero(query < 0))) if len(dims)]
+
+
+def candidates(lists: Lists, query: np.ndarray, own: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, int]:
+    """Rows of the block that may belong to the query's best k, all others cannot; and how many entries were read."""
+    n, width = len(own), len(query)
+    sums, seen = np.zeros(n), np.zeros((n, width))
+    frontier, least = np.zeros(width), np.zeros(width)
+    read = lists.of(query)
+    for rows, values, dims in read:
+        least[dims] = values[-1, dims] * query[dims]
+    at, window = 0, max(k + 1, int(n * FIRST_WINDOW))
+    while True:
+        end = min(n, at + window)
+        for rows, values, dims in read:
+            shown, gains = rows[at:end][:, dims], values[at:end][:, dims] * query[dims]
+            sums += np.bincount(shown.ravel(), gains.ravel(), n)
+            seen[shown, dims] = 1.0
+            frontier[dims] = gains[-1]
+        if end == n:
+            lower = upper = sums
+        else:
+            upper = sums + (frontier.sum() - seen @ frontier)
+            lower = sums + (least.sum() - seen @ least)
+        others = lower[~own]
+        if len(others) >= k:
+            floor = max(floor, np.partition(others, len(others) - k)[len(others) - k])
+        chosen = np.flatnonzero((upper >= floor) & ~own)
+        if end == n or len(chosen) <= FEW * k:
+            return chosen, end * sum(len(dims) for *_, dims in read)
+        at, window = end, end  # depth doubles
+
+
 def read_lists(ids: np.ndarray, block: np.ndarray, run: Running) -> None:
     """Adds the block's vectors that belong to each query's best k."""
-    n = len(ids)
-    order = np.sort(block, axis=0)
-    bottom, top = order[0], order[-1]
-    live = np.arange(len(run.ids))
-    positive, negative = np.maximum(run.matrix, 0), np.minimum(run.matrix, 0)
-    depth = max(run.k + 1, int(n * FIRST_DEPTH))
-    wide = max(np.abs(block).max(initial=0), np.abs(run.matrix).max(initial=0)) >= 1 << 22
-    while len(live):
-        depth = min(depth, n)
-        high, low = order[n - depth], order[depth - 1]  # reading positions from the top and from the bottom
-        p, m = positive[live], negative[live]
-        upper = np.maximum(high - block, 0)  # what a list's unread part may add to the component
-        reach = p @ high + m @ low  # the most a vector that no list has shown can score
-        if depth == n or wide:
-            lower = above = None
+    lists = Lists(block)
+    for q, query in enumerate(run.matrix):
+        own = ids == run.ids[q]
+        if len(ids) <= FEW * run.k or not fits(block, query):
+            chosen = np.flatnonzero(~own)
         else:
-            above = (block + upper) @ p.T + np.minimum(block, low) @ m.T
-            lower = np.where(block >= high, block, bottom) @ p.T + np.where(block <= low, block, top) @ m.T
-        done = []
-        for j, q in enumerate(live):
-            if above is None:
-                chosen = np.arange(n)
-            else:
-                lower[ids == run.ids[q], j] = -np.inf
-                floor = max(run.floor[q], np.partition(lower[:, j], n - run.k)[n - run.k]) if n > run.k else run.floor[q]
-                chosen = np.flatnonzero(above[:, j] >= floor)
-                if len(chosen) > max(4 * run.k, n // 8) and reach[j] >= floor:
-                    continue  # outsiders may still qualify
-            keep = chosen[ids[chosen] != run.ids[q]]
-            if len(keep):
-                run.add(q, exact(block[keep], run.matrix[q]), ids[keep])
-            done.append(j)
-        live = np.delete(live, done)
-        depth *= 2
+            chosen, read = candidates(lists, query, own, run.floor[q], run.k)
+            run.read += read
+        run.resolved += len(chosen)
+        if len(chosen):
+            run.add(q, exact(block[chosen], query), ids[chosen])
 
 
 def search(queries, k: int):
