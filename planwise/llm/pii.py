@@ -1,15 +1,19 @@
 """PII surrogates: detected entities get keyed replacements of their own type, distinct and stable.
 
 An entity is a type and a canonical value: the digits of a phone number or card, an address in
-lower case, a name without its title. The keyed hash (BLAKE2b) of these and of an attempt number
+lower case, a word of a name. The keyed hash (BLAKE2b) of these and of an attempt number
 makes the surrogate: letters become letters of the same script and case, digits digits, separators
-stay; a card keeps its first digit and whether its check digit holds, a phone its country code, an
-address its private or public range, a name the gender that its title shows. The same entity gets
-the same surrogate wherever it stands (coreference).
+stay; a card keeps its first digit and its check digit holds, an IBAN its country and its check digits hold,
+a phone its country code, an address its private or public range, a given name the gender that its title shows.
+
+The same entity gets the same surrogate wherever it stands (coreference). Names are replaced word by word,
+so a surname agrees with itself in every name that has it. A title shows a name; in the same text the name
+without its title, or with another, and its surname alone are that person too, with the gender that any of its titles shows.
+What looks like a number or a secret but is none stays: cards and IBANs whose check digits fail, versions, plain words.
 
 Distinctness is checked over the corpus: entities whose surrogate is another's, or some real value,
-draw again with the next attempt until none is left; every fourth attempt lengthens names, local parts,
-secrets and phone numbers by one more, so there is always room. Those few, the exceptions, go to the rewriting
+draw again with the next attempt until none is left; every fourth attempt lengthens what it draws by one
+more, and IP addresses go on to IPv6, so there is always room. Those few, the exceptions, go to the rewriting
 tasks as a broadcast while they are fewer than EXCEPTIONS, and by a join on the text's digest beyond.
 
 Null texts stay null, empty ones empty, without entities. Repeated rows are rewritten alike. Texts
@@ -45,6 +49,9 @@ IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 LOCAL, DOMAIN = re.compile(r"[\w.%+-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 SECRET = re.compile(r"\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?([A-Za-z0-9_/+=.~-]{8,})", re.I)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: What stands before four numbers that are a version; a secret that is a plain word.
+VERSION = re.compile(r"(?:\bv|version|release|rev)[. :]*$", re.I)
+PLAIN_WORD = re.compile(r"[^\W\d_](?:[^\W\d_A-Z]*|[A-Z]*)")
 #: Titles that show a person, by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Sir")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Signora", "Lady")
@@ -66,6 +73,11 @@ def luhn(digits: str) -> int:
     return sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 * (d > "4")) for i, d in enumerate(reversed(digits))) % 10
 
 
+def iban_check(value: str) -> int:
+    """1 if the check digits are those of the rest."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def of_digits(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
     """The entities in a run of digits and separators."""
     found = []
@@ -73,8 +85,11 @@ def of_digits(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
         for kind, pattern in (("ip", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD)):
             m = pattern.match(text, at, end)
             if m and not (text[m.end() : m.end() + 1].isdigit() or kind == "ip" and re.match(r"\.\d", text[m.end() : m.end() + 2])):
-                if kind == "card" and not 13 <= sum(c.isdigit() for c in m[0]) <= 19:
+                if kind == "card" and (not 13 <= sum(c.isdigit() for c in m[0]) <= 19 or luhn(re.sub(r"\D", "", m[0]))):
                     continue
+                if kind == "ip" and VERSION.search(text, max(0, m.start() - 12), m.start()):
+                    at = m.end()
+                    break
                 found.append((m.start(), m.end(), kind))
                 at = m.end()
                 break
@@ -85,6 +100,34 @@ def of_digits(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
     return found
 
 
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """The words of names: after a title, and of the same names, or surnames alone, elsewhere in the text."""
+    titled = [(m.start(2), m[2], GENDER[m[1]]) for m in PERSON.finditer(text)]
+    genders: dict[tuple, str] = {}
+    written: set[str] = set()
+    for _, name, gender in titled:
+        words = re.split(r"[ \t-]", name)
+        key = tuple(w.casefold() for w in words)
+        if genders.get(key, "n") == "n":
+            genders[key] = gender
+        written |= {name, words[-1]} if len(words[-1]) > 2 else {name}
+    if not written:
+        return []
+    again = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(written, key=len, reverse=True)))})(?![^\W_])")
+    spans = {start: name for start, name, _ in titled}
+    for m in again.finditer(text):
+        spans.setdefault(m.start(), m[0])
+    out = []
+    for start, name in spans.items():
+        words = [(start + w.start(), w[0]) for w in re.finditer(r"[^ \t-]+", name)]
+        gender = genders.get(tuple(w.casefold() for _, w in words), "n")
+        for at, w in words[:-1]:
+            out.append((at, at + len(w), f"given-{gender}", w.casefold()))
+        at, w = words[-1]
+        out.append((at, at + len(w), "surname", w.casefold()))
+    return out
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value), in order, none overlapping."""
     if not text:
@@ -98,12 +141,13 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((start, domain.end(), "email", text[start : domain.end()].lower()))
         at = text.find("@", at + 1)
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret", m[1]) for m in SECRET.finditer(text) if any(c.isalnum() for c in m[1])]
+        found += [(m.start(1), m.end(1), "secret", m[1]) for m in SECRET.finditer(text) if any(c.isalnum() for c in m[1]) and not PLAIN_WORD.fullmatch(m[1])]
     for m in DIGITS.finditer(text):
         found += [(a, b, kind, text[a:b] if kind == "ip" else re.sub(r"\D", "", text[a:b])) for a, b, kind in of_digits(text, m.start(), m.end())]
-    found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text)] if IBAN_HINT.search(text) else []
+    if IBAN_HINT.search(text):
+        found += [(m.start(), m.end(), "iban", v) for m in IBAN.finditer(text) if iban_check(v := m[0].replace(" ", "")) == 1]
     if any(t in text for t in GENDER):
-        found += [(m.start(2), m.end(2), f"person-{GENDER[m[1]]}", " ".join(m[2].split()).casefold()) for m in PERSON.finditer(text)]
+        found += persons(text)
     out: list[tuple[int, int, str, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -170,6 +214,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         host, _, top = domain.rpartition(".")
         own = stream(key, "domain", domain, 0)  # one domain, one surrogate
         return f"{scramble(local, numbers)}{more(attempt, numbers, LETTERS)}@{scramble(host, own)}.{top}"
+    longer = attempt // LENGTHEN
+    if kind == "ip" and longer > 4:  # so many draws failed: the range is full
+        return "2001:db8:" + ":".join(f"{next(numbers) % 65536:x}" for _ in range(6))
     if kind == "ip":
         octets = value.split(".")
         if octets[:2] == ["192", "168"] and attempt >= LENGTHEN:
@@ -180,22 +227,19 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             new[0] = "11"
         return ".".join(octets[:keep] + new)
     if kind == "card":
-        body = value[0] + "".join(str(next(numbers) % 10) for _ in value[1:-1])
-        valid = str(-luhn(body + "0") % 10)
-        return body + (valid if luhn(value) == 0 else str((int(valid) + 1 + next(numbers) % 9) % 10))
+        body = value[0] + "".join(str(next(numbers) % 10) for _ in value[1:-1]) + more(attempt, numbers, "0123456789")
+        return body + str(-luhn(body + "0") % 10)
     if kind == "phone":
         keep = max(0, len(value) - 10)  # the country code, where the number is long enough to have one
         return value[:keep] + "".join(str(next(numbers) % 10) for _ in value[keep:]) + more(attempt, numbers, "0123456789")
     if kind == "iban":
-        return value[:2] + scramble(value[2:], numbers)
-    if kind.startswith("person"):
+        body = scramble(value[4:], numbers) + more(attempt, numbers, "0123456789")
+        return f"{value[:2]}{98 - iban_check(f'{value[:2]}00{body}'):02d}{body}"
+    if kind == "surname" or kind.startswith("given"):
         syllables, ending = SYLLABLES[script(value)]
-        words = re.split(r"([ -])", value)
-        made = ["".join(syllables[next(numbers) % len(syllables)] for _ in range(3 + attempt // LENGTHEN)) for _ in words[::2]]
-        made[0] += ending[kind[-1]]
-        return "".join(w + s for w, s in zip(made, [*words[1::2], ""]))
-    made = scramble(value, numbers)
-    return made + more(attempt, numbers, "abcdef" if kind == "secret" else LETTERS) if kind != "ssn" else made
+        made = "".join(syllables[next(numbers) % len(syllables)] for _ in range(3 + longer))
+        return made + (ending[kind[-1]] if kind != "surname" else "")
+    return scramble(value, numbers) + more(attempt, numbers, {"secret": "abcdef", "ssn": "0123456789"}.get(kind, LETTERS))
 
 
 def in_form(kind: str, seen: str, new: str) -> str:
@@ -205,10 +249,8 @@ def in_form(kind: str, seen: str, new: str) -> str:
         return "".join([*(next(chars, "") if c.isalnum() else c for c in seen), *chars])
     if kind == "email":
         return "".join(n.upper() if s.isupper() else n for s, n in zip(seen, new)) if len(seen) == len(new) else new
-    if kind.startswith("person"):
-        if seen.isupper():
-            return new.upper()
-        return re.sub(r"(^|[ -])(\w)", lambda m: m[1] + m[2].upper(), new)
+    if kind == "surname" or kind.startswith("given"):
+        return new.upper() if seen.isupper() else new.capitalize()
     return new
 
 
@@ -276,11 +318,20 @@ RESULT = "text string, entities array<struct<kind:string,start:int,end:int>>"
 RESULT_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def anonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, bound: int = EXCEPTIONS) -> DataFrame:
-    """docs with the text rewritten and a column _entities: type and place of each surrogate in the new text."""
+#: Names of columns between steps, which no input has.
+DONE, DIGEST, OF, OWN = "__pii_done", "__pii_digest", "__pii_of", "__pii_own"
+
+
+def anonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, bound: int = EXCEPTIONS, entities_as: str | None = "_entities") -> DataFrame:
+    """docs with the text rewritten; a column entities_as, if asked for, has type and place of each surrogate in the new text, and takes the place of one of that name."""
     firsts = materialize(entities(docs, text, key), "pii-entities")
     exceptions = settle(firsts, key)
     few = exceptions.limit(bound + 1).collect()
+
+    def done(with_result: DataFrame) -> DataFrame:
+        out = with_result.withColumn(text, F.col(DONE)["text"])
+        return (out.withColumn(entities_as, F.col(DONE)["entities"]) if entities_as else out).drop(DONE)
+
     if len(few) <= bound:
         shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["new"] for r in few})
 
@@ -289,7 +340,7 @@ def anonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, bound: int
             rows = [rewrite(t.as_py(), key, shared.value) for t in texts]
             return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], RESULT_ARROW)], names=["text", "entities"])
 
-        return docs.withColumn("_r", rewritten(F.col(text))).withColumn(text, F.col("_r.text")).withColumn("_entities", F.col("_r.entities")).drop("_r")
+        return done(docs.withColumn(DONE, rewritten(F.col(text))))
 
     @F.arrow_udf("array<struct<kind:string,value:string>>")
     def mentions(texts: pa.Array) -> pa.Array:
@@ -301,8 +352,8 @@ def anonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, bound: int
         rows = [rewrite(t.as_py(), key, {(e["kind"], e["value"]): e["new"] for e in o.as_py() or []}) for t, o in zip(texts, own)]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], RESULT_ARROW)], names=["text", "entities"])
 
-    marked = docs.withColumn("_digest", F.sha2(F.col(text), 256))
-    said = marked.select("_digest", F.explode(mentions(F.col(text))).alias("_m")).select("_digest", "_m.kind", "_m.value").distinct()
-    own = said.join(exceptions, ["kind", "value"]).groupBy(F.col("_digest").alias("_d")).agg(F.collect_list(F.struct("kind", "value", "new")).alias("_own"))
-    joined = marked.join(own, F.col("_digest") == F.col("_d"), "left").withColumn("_r", rewritten_with(F.col(text), F.col("_own")))
-    return joined.withColumn(text, F.col("_r.text")).withColumn("_entities", F.col("_r.entities")).drop("_r", "_own", "_d", "_digest")
+    marked = docs.withColumn(DIGEST, F.sha2(F.col(text), 256))
+    said = marked.select(F.col(DIGEST).alias("d"), F.explode(mentions(F.col(text))).alias("m")).select("d", "m.kind", "m.value").distinct()
+    own = said.join(exceptions, ["kind", "value"]).groupBy(F.col("d").alias(OF)).agg(F.collect_list(F.struct("kind", "value", "new")).alias(OWN))
+    joined = marked.join(own, F.col(DIGEST) == F.col(OF), "left").withColumn(DONE, rewritten_with(F.col(text), F.col(OWN)))
+    return done(joined.drop(DIGEST, OF, OWN))

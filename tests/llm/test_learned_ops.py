@@ -126,9 +126,9 @@ TEXT = "Mr. John Smith (j.smith@mail1.example.com, J.Smith@mail1.example.com) an
 def test_detection_types_and_canonical_values():
     found = [(k, v) for _, _, k, v in pii.detect(TEXT)]
     assert found == [
-        ("person-m", "john smith"), ("email", "j.smith@mail1.example.com"), ("email", "j.smith@mail1.example.com"), ("person-f", "anna berg"), ("phone", "14565552186"), ("phone", "14565552186"),
+        ("given-m", "john"), ("surname", "smith"), ("email", "j.smith@mail1.example.com"), ("email", "j.smith@mail1.example.com"), ("given-f", "anna"), ("surname", "berg"), ("phone", "14565552186"), ("phone", "14565552186"),
         ("card", "4539578763621486"), ("ip", "23.17.61.190"), ("ip", "192.168.1.7"), ("ssn", "123456789"), ("secret", "da6a7d4f67f2203943"), ("secret", "be8a8e7152a5c568b612dc7f4042dd9566113270"),
-        ("person-m", "иван петров"), ("iban", "DE44500105175407324931"),
+        ("given-m", "иван"), ("surname", "петров"), ("iban", "DE44500105175407324931"),
     ]
     assert pii.detect(None) == pii.detect("") == pii.detect("no 12 numbers 3.14 here @ all = none: 10:30, 1,000") == []
 
@@ -138,14 +138,28 @@ def test_surrogates_keep_type_form_and_reference():
     assert not any(x in new for x in ("Smith", "smith@", "Berg", "555-2186", "4539578763621486", "23.17.61.190", "da6a7d4f", "Петров", "6789"))
     assert [s["kind"] for s in spans] == [k for _, _, k, _ in pii.detect(TEXT)] == [k for _, _, k, _ in pii.detect(new)]
     at = [new[s["start"] : s["end"]] for s in spans]
-    assert at[1] == at[2].lower() and at[2][0].isupper() and at[1].endswith(".com")
-    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", at[4]) and re.sub(r"\D", "", at[4]) == re.sub(r"\D", "", at[5])
-    assert at[6][0] == "4" and pii.luhn(at[6]) == pii.luhn("4539578763621486") == 0
-    assert at[8].startswith("192.168.") and re.fullmatch("[0-9a-f]{18}", at[10])
-    assert pii.script(at[12]) == "cyrillic" and at[12].istitle() and len(at[12].split()) == 2
+    assert at[2] == at[3].lower() and at[3][0].isupper() and at[2].endswith(".com")
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", at[6]) and re.sub(r"\D", "", at[6]) == re.sub(r"\D", "", at[7])
+    assert at[8][0] == "4" and pii.luhn(at[8]) == pii.luhn("4539578763621486") == 0
+    assert at[10].startswith("192.168.") and re.fullmatch("[0-9a-f]{18}", at[12])
+    assert all(pii.script(w) == "cyrillic" and w.istitle() for w in at[14:16]) and at[16][:2] == "DE" and pii.iban_check(at[16].replace(" ", "")) == 1
     assert pii.rewrite(TEXT, b"k", {})[0] == new != pii.rewrite(TEXT, b"other", {})[0]
 
 
+def test_names_agree_across_titles_and_alone():
+    new, spans = pii.rewrite("Dr Anna Smith met Mr Anna Smith. Smith left; Anna Smith too, a Smithy stayed. Mrs Smith-Berg", b"k", {})
+    at = [new[s["start"] : s["end"]] for s in spans]
+    assert [s["kind"] for s in spans] == ["given-m", "surname"] * 2 + ["surname", "given-m", "surname", "given-f", "surname"]
+    assert at[0] == at[2] == at[5] and at[1] == at[3] == at[4] == at[6] and "Smithy" in new
+    assert not re.search(r"\b(Anna|Smith|Berg)\b", new)
+
+
+def test_what_only_looks_like_personal_data_stays():
+    text = "card 4539578763621487, IBAN DE45 5001 0517 5407 3249 31, version 1.2.3.4, v10.0.0.1, password = something, token: SOMETHING"
+    assert pii.detect(text) == [] and pii.rewrite(text, b"k", {})[0] == text
+    assert [k for _, _, k, _ in pii.detect("host 1.2.3.4 password = s0mething")] == ["ip", "secret"]
+
+
 def test_collisions_draw_again(spark):
     values = [f"{v:03}" for v in range(150)]
     firsts = spark.createDataFrame([("n", v, pii.surrogate(b"", "n", v)) for v in values], "kind string, value string, new string")
@@ -164,6 +178,14 @@ def test_op9_replaces_every_entity_and_both_ways_agree(spark):
     assert sorted((r["doc_id"], r["text"]) for r in by_join) == sorted((r["doc_id"], r["text"]) for r in rows)
 
 
+def test_pii_leaves_columns_of_any_name(spark):
+    names = ["_r", "_d", "_own", "_digest", "_entities", "kind", "value", "new", "entities"]
+    docs = spark.createDataFrame([("Mr John Smith", *range(len(names)))], ["text", *names])
+    for bound in (10, -1):
+        row = pii.anonymize(docs, bound=bound, entities_as=None).first()
+        assert [row[c] for c in names] == list(range(len(names))) and "Smith" not in row["text"]
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     found = pii.anonymize(odd_docs)
     assert set(odd_docs.columns) < set(found.columns)

@@ -12,7 +12,14 @@ def test_surrogates_never_run_out(spark):
 
 def test_names_have_more_room_with_each_attempt():
     names = [f"α{i}" for i in range(30_000)]
-    assert len({pii.surrogate(b"", "person-n", v, 12) for v in names}) > 29_900 > 13_824
+    assert len({pii.surrogate(b"", "given-n", v, 12) for v in names}) > 29_900 > 13_824
+
+
+def test_full_ranges_go_on_elsewhere():
+    assert pii.surrogate(b"", "ip", "192.168.1.7", 20).startswith("2001:db8:")
+    assert len({pii.surrogate(b"", "ssn", f"{v:09}", 8) for v in range(2000)}) == 2000
+    long_card = pii.surrogate(b"", "card", "4539578763621486", 8)
+    assert len(long_card) == 18 and pii.luhn(long_card) == 0
 
 
 def test_values_without_letters_or_digits_are_no_entities(spark):
