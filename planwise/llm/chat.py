@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running_total
+from .shared import materialize, never_null, running_total
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens of a span and of the history before it, and turns that one window function orders at a time.
@@ -47,22 +47,19 @@ def turns(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY
     """conv_id, begins (tokens before the turn), place (its own number), role, body (formatted), span."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("body", F.concat(F.lit(START), escape(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END)))
-    rows = rows.withColumn("_weight", F.struct(tokens(F.col("body")).alias("t"), F.lit(1).cast("long").alias("n")))
-    rows = rows.withColumn("_t", F.col("_weight.t")).withColumn("_n", F.col("_weight.n")).drop("_weight")
-    order, chunk = ["turn", "role", "text"], F.floor(F.col("turn") / CHUNK)
-    rows = running_total(rows, ["conv_id"], chunk, order, "_t", "begins")
-    rows = running_total(rows, ["conv_id"], chunk, order, "_n", "place")
+    rows = rows.withColumns({"_t": tokens(F.col("body")), "_n": F.lit(1).cast("long")})
+    rows = running_total(rows, ["conv_id"], F.floor(F.col("turn") / CHUNK), ["turn", "role", "text"], {"begins": "_t", "place": "_n"})
     return rows.withColumn("span", F.floor(F.col("begins") / budget)).select("conv_id", "begins", "place", "role", "body", "span")
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, span, formatted, repeats (turns at its head that other windows have too), loss (array of start and end, in code points)."""
     assert history <= budget, "a turn is history of one window at most"
-    rows = turns(conversations, budget, history)
+    rows = materialize(turns(conversations, budget, history), "chat-turns")  # texts are ordered once, whatever reads them
     spans = rows.groupBy("conv_id", "span").agg(F.min("begins").alias("_start"), F.min("place").alias("_first"))
     following = Window.partitionBy("conv_id").orderBy("span")
     spans = spans.select(F.col("conv_id").alias("_c"), F.col("span").alias("_s"), F.lead("span").over(following).alias("_next"), F.lead("_start").over(following).alias("_next_start"))
-    rows = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("span") == F.col("_s")))
+    rows = rows.join(spans, (never_null(F.col("conv_id")) == never_null(F.col("_c"))) & (F.col("span") == F.col("_s")))
     system = (F.col("place") == 0) & (F.col("role") == "system")
     recalled = F.col("_next").isNotNull() & (F.col("_next_start") - F.col("begins") <= history) & ~system
     shown = F.concat(

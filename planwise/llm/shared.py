@@ -45,27 +45,27 @@ def keyed_fraction(key: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000
 
 
-def running_total(df: DataFrame, group: list[str], chunk: Column, order: list, value: str, out: str) -> DataFrame:
-    """Adds out: the sum of value over the rows before this one in its group, in the order (chunk, order).
+def never_null(c: Column) -> Column:
+    """As text that is null for no value, and different for different ones; so plain equality joins nulls too, and keeps a partitioning."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+
+
+def running_total(df: DataFrame, group: list[str], chunk: Column, order: list, totals: dict[str, str]) -> DataFrame:
+    """Adds, for each item (out, value) of totals, out: the sum of value over the rows before this one in its group, in the order (chunk, order).
 
     chunk must not fall as order rises. A window sees one chunk's rows only; the chunks' own sums
-    make the offsets, so no task holds a whole group.
+    make the offsets, so no task holds a whole group, and df's rows are shuffled once.
     """
-    parts = df.withColumn("_chunk", chunk)
-    sums = parts.groupBy(*group, "_chunk").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(g).alias(f"_o_{g}") for g in group], F.col("_chunk").alias("_o_chunk"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
-    )
-    same = F.col("_chunk").eqNullSafe(F.col("_o_chunk"))
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    inner = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        parts.join(offsets, same, "left")
-        .withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)) + F.col("_offset"))
-        .drop("_chunk", "_offset", "_o_chunk", *[f"_o_{g}" for g in group])
-    )
+    keys = [f"__total_{i}" for i in range(len(group) + 1)]
+    parts = df.withColumn("__total_chunk", chunk)
+    parts = parts.withColumns({k: never_null(F.col(c)) for k, c in zip(keys, [*group, "__total_chunk"])})
+    sums = parts.groupBy(*keys, "__total_chunk").agg(*[F.sum(v).alias(f"__total_of_{out}") for out, v in totals.items()])
+    before = Window.partitionBy(*keys[:-1]).orderBy("__total_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, *[F.coalesce(F.sum(f"__total_of_{out}").over(before), F.lit(0)).alias(f"__total_to_{out}") for out in totals])
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = parts.withColumns({out: F.coalesce(F.sum(v).over(inner), F.lit(0)) for out, v in totals.items()})
+    joined = added.join(offsets, keys)
+    return joined.withColumns({out: F.col(out) + F.col(f"__total_to_{out}") for out in totals}).drop("__total_chunk", *keys, *[f"__total_to_{out}" for out in totals])
 
 
 #: A key is hot if more than one row in HOT has it; so there are fewer than HOT of them, and they may be broadcast.
