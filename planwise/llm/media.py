@@ -32,7 +32,7 @@ ROW = 576
 
 
 def items(html: str | None) -> list[dict]:
-    """Items in order. A figure's caption goes to its images; an image without one takes its alt text."""
+    """Items in order. A figure's caption goes to its images since the caption before; an image without one takes its alt text."""
     out: list[dict] = []
     line: list[str] = []
     caption: list[str] | None = None
@@ -53,7 +53,7 @@ def items(html: str | None) -> list[dict]:
             elif caption is not None:
                 for item in waiting:
                     item["caption"] = tidy(caption) or item["caption"]
-                caption = None
+                caption, waiting = None, []
         elif name in ("img", "video", "audio", "source") and kind == "open":
             flush()
             given = attributes(content)

@@ -99,7 +99,8 @@ def derive(record: bytes) -> list[tuple[str, str, str, bytes]]:
     source = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
     linked = [("WARC-Date", headers["warc-date"]), ("WARC-Target-URI", headers["warc-target-uri"]), ("WARC-Refers-To", headers["warc-record-id"]), ("WARC-Refers-To-Target-URI", headers["warc-target-uri"]), ("WARC-Refers-To-Date", headers["warc-date"])]
     fields = [
-        ("source-content-type", source.get("content-type", "")), ("source-payload-digest", headers["warc-payload-digest"]), ("source-block-digest", headers["warc-block-digest"]), *page_fields(html),
+        ("source-content-type", source.get("content-type", "")), ("source-payload-digest", headers["warc-payload-digest"]), ("source-block-digest", headers["warc-block-digest"]),
+        *((f"source-{k}", v) for k, v in source.items() if k and k != "content-type"), *page_fields(html),
     ]
     bodies = {
         "metadata": ("application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields)),
