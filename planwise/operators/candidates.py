@@ -180,6 +180,53 @@ def candidates_condition_rule(kinds: DataFrame, width: int = WIDTH) -> DataFrame
     return heads.select("query_id", "index_id").union(tails).distinct()
 
 
+#: Rows under which a table gets no arm, and the share of a table's rows that an arm for its payload alone is worth.
+ARM_ROWS, PAYLOAD_WORTH = 10_000, 0.001
+
+
+def bandit_arms(roles: DataFrame, selectivity: DataFrame, rows: DataFrame, width: int = WIDTH, least_rows: int = ARM_ROWS) -> DataFrame:
+    """query_id, index_id, value, whole (all columns of its kind that the query has there).
+
+    Predicate columns in every order up to width: (1 - selectivity) * share of the predicate columns * rows. Tables with
+    payload only: its columns, if no more than width, in order of appearance: 0.001 * rows. A query's repeats have one value, so their mean is it.
+    roles: as clause_columns gives them. selectivity: query_id, tab, selectivity (1 where missing). rows: tab, rows.
+    """
+    large = rows.where(F.col("rows") >= least_rows).select("tab", "rows")
+    predicates = roles.where("role = 'predicates'").select("query_id", "tab", "col").distinct()
+    counts = predicates.groupBy("query_id", "tab").agg(F.count("*").alias("_n"))
+    ordered = permutations(predicates, ["query_id"], width).join(counts, ["query_id", "tab"]).join(selectivity, ["query_id", "tab"], "left").join(large, "tab")
+    worth = (1 - F.coalesce("selectivity", F.lit(1.0))) * F.col("width") / F.col("_n") * F.col("rows")
+    first = ordered.select("query_id", "index_id", F.round(worth, 4).alias("value"), (F.col("width") == F.col("_n")).alias("whole"))
+    payload = roles.where("role = 'payload'").join(counts, ["query_id", "tab"], "left_anti").groupBy("query_id", "tab", "col").agg(F.min("pos").alias("pos"))
+    listed = payload.groupBy("query_id", "tab").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda x: x["col"]).alias("cols"))
+    second = listed.where(F.size("cols") <= width).join(large, "tab").select("query_id", index_id().alias("index_id"), F.round(PAYLOAD_WORTH * F.col("rows"), 4).alias("value"), F.lit(True).alias("whole"))
+    return first.union(second)
+
+
+frame("arm_predicate", "select distinct query_id, tab, col from clause_column where role = 'predicates'")
+frame("arm_count", "select query_id, tab, count(*) as n from arm_predicate group by query_id, tab")
+frame("arm_rows", f"select distinct tab, rows from catalog where rows >= {ARM_ROWS}")
+
+
+@query(
+    "bandit_arms",
+    f"""
+select k.query_id, k.tab || '#' || array_to_string(k.cols, ',') as index_id, round((1 - coalesce(s.selectivity, 1.0)) * len(k.cols) / n * rows, 4) as value, len(k.cols) = n as whole
+from (select query_id, tab, [col] as cols from arm_predicate union all select a.query_id, a.tab, [a.col, b.col] from arm_predicate a join arm_predicate b on a.query_id = b.query_id and a.tab = b.tab and a.col <> b.col) k
+join arm_count using (query_id, tab) join arm_rows using (tab) left join read_share s on s.plan_id = k.query_id and s.tab = k.tab
+union all select query_id, tab || '#' || array_to_string(cols, ','), round({PAYLOAD_WORTH} * rows, 4), true
+from (select query_id, tab, list(col order by pos, col) as cols from (select query_id, tab, col, min(pos) as pos from clause_column where role = 'payload' group by query_id, tab, col) p
+  where not exists (select 1 from arm_count c where c.query_id = p.query_id and c.tab = p.tab) group by query_id, tab) join arm_rows using (tab) where len(cols) <= {WIDTH}""",
+)
+def _(spark, sf_dir):
+    from ..plans.planlog import nodes_of, table_selectivity
+    from .cost import table_rows
+
+    rows = table_rows(spark, sf_dir)
+    shares = table_selectivity(nodes_of(spark, sf_dir), rows).withColumnRenamed("plan_id", "query_id")
+    return bandit_arms(roles_of(spark, sf_dir), shares, rows)
+
+
 def merge_candidates(indexes: DataFrame, width: int) -> DataFrame:
     """a, b, merged: A's columns, then those of B that A lacks, cut to width."""
     a = indexes.select(F.col("index_id").alias("a"), "tab", F.col("cols").alias("_a"))

@@ -37,7 +37,7 @@ def keyed_sql(*parts: str, seed: int = SEED) -> str:
 
 def value_pool(counts: DataFrame, top: int = 100) -> DataFrame:
     """col, rank (from 0), val, size: a column's most frequent values."""
-    ranked = counts.where("val is not null").withColumn("rank", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "val")) - 1).where(f"rank < {top}")
+    ranked = counts.where("val is not null").withColumn("rank", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "val"))).where(F.col("rank") <= top).withColumn("rank", F.col("rank") - 1)
     return ranked.withColumn("size", F.count("*").over(Window.partitionBy("col"))).select("col", "rank", "val", "size")
 
 

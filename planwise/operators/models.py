@@ -168,6 +168,32 @@ def _(spark, sf_dir):
     return model.transform(rows.where("split = 'valid'")).select("id", "truth", F.exp("prediction").alias("pred"))
 
 
+def fit_index_filter(vectors: DataFrame, labels: DataFrame, kind: str = "boosted", seed: int = 666):
+    """A model of an index's relative gain from a plan's 55 numbers, fitted on the training queries, and its rows.
+
+    vectors: plan_id, index_id, features. labels: query_id, index_id, label. Rows: query_id, index_id, features, label (null where none is known), split.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    known = vectors.withColumnRenamed("plan_id", "query_id").join(labels, ["query_id", "index_id"], "left")
+    rows = train_valid_split(known.withColumn("features", array_to_vector("features")), "query_id")
+    return fit_trees(rows.where("split = 'train' and label is not null"), kind, seed=seed), rows
+
+
+#: The least relative gain that a candidate is kept for.
+LEAST_GAIN = 0.05
+
+
+@query("fit_index_filter")
+def _(spark, sf_dir):
+    """Each plan's candidates with the predicted gain and whether it is worth keeping; the trees are beyond SQL."""
+    from ..plans.planlog import filter_training_rows, filter_vectors_of
+
+    model, rows = fit_index_filter(filter_vectors_of(spark, sf_dir), filter_training_rows(singles_of(spark, sf_dir)))
+    scored = model.transform(rows)
+    return scored.select("query_id", "index_id", "split", "label", F.col("prediction").alias("gain"), (F.col("prediction") > LEAST_GAIN).alias("kept"))
+
+
 @query("predict_workload_cost", "select round(sum(exp(ln(without)) * freq), 0) as predicted from (select query_id, sum(scan) as without from scan_cost group by query_id) join workload using (query_id)")
 def _(spark, sf_dir):
     """The sum of exp(prediction) * freq; here the prediction is each query's own log cost."""

@@ -307,7 +307,7 @@ def value_vocabulary(catalog: DataFrame, counts: DataFrame, top: int = VOCABULAR
     tables = catalog.select("tab").distinct().select(F.lit(1), F.lit("table"), F.lit(""), F.col("tab"), F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("tab")).cast("long") - 1)
     columns = catalog.select(F.lit(2), F.lit("column"), F.col("tab"), F.col("col"), F.col("ordinal").cast("long") - 1)
     by_count = Window.partitionBy("col").orderBy(F.desc("n"), "val")
-    values = counts.where("val is not null").withColumn("at", F.row_number().over(by_count).cast("long") - 1).where(f"at < {top}").select(F.lit(3), F.lit("value"), F.col("col"), F.col("val"), F.col("at"))
+    values = counts.where("val is not null").withColumn("at", F.row_number().over(by_count)).where(F.col("at") <= top).select(F.lit(3), F.lit("value"), F.col("col"), F.col("val"), F.col("at").cast("long") - 1)
     words = special.union(tables).union(columns).union(values)
     groups = words.groupBy("part", F.col("owner").alias("_owner")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part", "_owner").rowsBetween(Window.unboundedPreceding, -1)

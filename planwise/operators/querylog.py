@@ -182,20 +182,43 @@ def _(spark, sf_dir):
     return decode_tokens(typed(spark, sf_dir))
 
 
+#: A run of characters that names are made of.
+NAME_RUN = "[a-z0-9_.]+"
+
+
+def columns_by_parts(text: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, tab, col: names within _sql, for a catalog of any size. A name of one run of characters lies within one run of the text, so it equals a part of it; other names are looked for one by one."""
+    keyed = names.withColumn("_key", F.when(F.col("ambiguous"), F.concat("tab", F.lit("."), "col")).otherwise(F.col("col")))
+    plain = F.col("_key").rlike(f"^{NAME_RUN}$") & F.col("tab").rlike(f"^{NAME_RUN}$")
+    runs = text.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("_sql", F.lit(f"({NAME_RUN})"), 1))).alias("_run"))
+    size = F.length("_run")
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("_run", i, n))))
+    parts = runs.select("_run").distinct().withColumn("_part", F.explode(F.array_distinct(cut)))
+    words = keyed.where(plain).select(F.explode(F.array("_key", "tab")).alias("_part")).distinct()
+    here = runs.join(parts.join(words, "_part"), "_run").select("query_id", "_part").distinct()
+    found = here.join(keyed.where(plain), F.col("_part") == F.col("_key")).select("query_id", "tab", "col")
+    whole = found.join(here.withColumnRenamed("_part", "tab"), ["query_id", "tab"], "left_semi").select("query_id", "tab", "col")
+    odd = text.join(keyed.where(~plain), F.contains("_sql", "tab") & F.contains("_sql", "_key")).select("query_id", "tab", "col")
+    return whole.union(odd)
+
+
 def indexable_columns(queries: DataFrame, catalog: DataFrame, whole_words: bool = False) -> DataFrame:
     """query_id, tab, col: a column counts where its name and its table's are in the text; a name of several tables needs `table.column`.
 
-    The catalog is broadcast up to BROADCAST_COLUMNS columns. whole_words matches words, by an equi-join of any size.
+    The catalog is broadcast up to BROADCAST_COLUMNS columns; beyond, parts of the texts' words join it by equality, with the same rows.
+    whole_words matches words, by an equi-join of any size.
     """
     many = catalog.groupBy("col").agg((F.count("*") > 1).alias("ambiguous"))
     names = catalog.select("tab", "col").join(many, "col")
     text = queries.select("query_id", F.lower("sql").alias("_sql"))
-    if whole_words or names.limit(BROADCAST_COLUMNS + 1).count() > BROADCAST_COLUMNS:
+    if whole_words:
         words = text.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("_sql", F.lit(r"([a-z_][a-z_0-9.]*)"), 1))).alias("_word"))
         keyed = names.withColumn("_key", F.when(F.col("ambiguous"), F.concat("tab", F.lit("."), "col")).otherwise(F.col("col")))
         columns = words.join(keyed, F.col("_word") == F.col("_key"))
         tables = words.select(F.col("query_id"), F.col("_word").alias("tab"))
         return columns.select("query_id", "tab", "col").distinct().join(tables, ["query_id", "tab"], "left_semi")
+    if names.limit(BROADCAST_COLUMNS + 1).count() > BROADCAST_COLUMNS:
+        return columns_by_parts(text, names)
     qualified = F.when(F.col("ambiguous"), F.contains("_sql", F.concat("tab", F.lit("."), "col"))).otherwise(F.contains("_sql", "col"))
     return text.join(F.broadcast(names), F.contains("_sql", "tab") & qualified).select("query_id", "tab", "col")
 

@@ -40,20 +40,26 @@ def _(spark, sf_dir):
     return comparison_table(adapters.measures(spark, sf_dir))
 
 
-def measure_pivot(measures: DataFrame, batches: list[int]) -> DataFrame:
-    """name, a column of means for each batch (0 where none), and their sum."""
-    wide = measures.groupBy("name").pivot("batch", batches).agg(F.avg("value"))
-    cells = [F.round(F.coalesce(F.col(f"`{b}`"), F.lit(0.0)), 6).alias(f"b{b}") for b in batches]
+def measure_pivot(measures: DataFrame, batches: list[int] | None = None) -> DataFrame:
+    """name, a column of means for each batch (0 where none), and their sum. batches: all that occur, in order, where not given; Spark raises beyond spark.sql.pivotMaxValues."""
+    keyed = measures.groupBy("name")
+    wide = (keyed.pivot("batch", batches) if batches else keyed.pivot("batch")).agg(F.avg("value"))
+    cells = [F.round(F.coalesce(F.col(f"`{b}`"), F.lit(0.0)), 6).alias(f"b{b}") for b in wide.columns if b != "name"]
     rows = wide.select("name", *cells)
-    return rows.withColumn("total", F.round(sum((F.col(f"b{b}") for b in batches), F.lit(0.0)), 6))
+    return rows.withColumn("total", F.round(sum((F.col(f"`{c}`") for c in rows.columns if c != "name"), F.lit(0.0)), 6))
 
 
-PIVOTED = [0, 1, 2, 3, 40]
-
-
-@query("measure_pivot", f"select name, {', '.join(f'b{b}' for b in PIVOTED)}, round({' + '.join(f'b{b}' for b in PIVOTED)}, 6) as total from (select name, {', '.join(f'round(coalesce(avg(value) filter (batch = {b}), 0), 6) as b{b}' for b in PIVOTED)} from measures group by name)")
+@query(
+    "measure_pivot",
+    """
+select name, list(cell order by batch) as cells, round(sum(cell), 6) as total from (
+  select n.name, b.batch, round(coalesce(m.mean, 0), 6) as cell from (select distinct name from measures) n cross join (select distinct batch from measures) b
+  left join (select name, batch, avg(value) as mean from measures group by name, batch) m on m.name = n.name and m.batch = b.batch) group by name""",
+)
 def _(spark, sf_dir):
-    return measure_pivot(adapters.measures(spark, sf_dir), PIVOTED)
+    """The pivot of all batches, its cells as one list."""
+    wide = measure_pivot(adapters.measures(spark, sf_dir))
+    return wide.select("name", F.array(*[F.col(c) for c in wide.columns if c not in ("name", "total")]).alias("cells"), "total")
 
 
 @query("measure_cube", "select component, batch, name, round(sum(value), 4) as total, count(*) as n from measures group by cube (component, batch, name)")

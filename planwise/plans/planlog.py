@@ -280,9 +280,9 @@ def op_features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_operator_features(nodes_of(spark, sf_dir), indexes_of(spark, sf_dir), all_stats(spark, sf_dir))
 
 
-@query("index_operator_features", "select plan_id, node_id, index_id, col, features from op_features where index_id in ('lineitem#l_quantity', 'orders#o_totalprice,o_orderdate', 'part#p_size')")
+@query("index_operator_features", "select plan_id, node_id, index_id, col, features from op_features")
 def _(spark, sf_dir):
-    return op_features_of(spark, sf_dir).where(F.col("index_id").isin("lineitem#l_quantity", "orders#o_totalprice,o_orderdate", "part#p_size"))
+    return op_features_of(spark, sf_dir)
 
 
 def pad_and_mask(features: DataFrame, keys: list[str], batch: str, width: int = 12) -> DataFrame:
@@ -295,10 +295,9 @@ def pad_and_mask(features: DataFrame, keys: list[str], batch: str, width: int =
     return padded.select(*keys, F.concat("_l", F.array_repeat(zero, gap)).alias("rows"), F.concat(F.array_repeat(F.lit(1), F.size("_l")), F.array_repeat(F.lit(0), gap)).alias("mask"))
 
 
-@query("pad_and_mask", "select plan_id, index_id, len(l) as real, longest - len(l) as padding from (select *, max(len(l)) over (partition by index_id) as longest from (select plan_id, index_id, list(features) as l from op_features where index_id in ('lineitem#l_quantity', 'part#p_size') group by plan_id, index_id))")
+@query("pad_and_mask", "select plan_id, index_id, real, longest - real as padding from (select *, max(real) over (partition by index_id) as longest from (select plan_id, index_id, count(*) as real from op_features group by plan_id, index_id))")
 def _(spark, sf_dir):
-    wanted = op_features_of(spark, sf_dir).where(F.col("index_id").isin("lineitem#l_quantity", "part#p_size"))
-    return padded_sizes(wanted)
+    return padded_sizes(op_features_of(spark, sf_dir))
 
 
 def padded_sizes(wanted: DataFrame) -> DataFrame:
@@ -342,7 +341,10 @@ def index_shapes(indexes: DataFrame, roles: DataFrame, compared: DataFrame) -> D
 frame("first_role", "select query_id, tab, col, min(k) as k from (select query_id, tab, col, case when role = 'order_by' then 0 when role = 'group_by' then 1 when role = 'predicates' and pos < 2000 then 2 end as k from clause_column union all select query_id, tab, col, 3 from literals) where k is not null group by query_id, tab, col")
 
 
-@query("index_shapes", f"select query_id, index_id, string_agg(coalesce(list_extract({RULES}, k + 1), '-'), ',' order by pos) as shape from (select query_id, index_id, tab, unnest(cols) as col, unnest(range(len(cols))) as pos from candidate) left join first_role using (query_id, tab, col) group by query_id, index_id")
+frame("index_shape", f"select query_id, index_id, string_agg(coalesce(list_extract({RULES}, k + 1), '-'), ',' order by pos) as shape from (select query_id, index_id, tab, unnest(cols) as col, unnest(range(len(cols))) as pos from candidate) left join first_role using (query_id, tab, col) group by query_id, index_id")
+
+
+@query("index_shapes", "select * from index_shape")
 def _(spark, sf_dir):
     from ..operators.candidates import candidates_of
     from ..operators.cost import literals_of
@@ -390,27 +392,72 @@ def filter_feature_vector(shapes: DataFrame, selectivities: DataFrame) -> DataFr
     return coded.join(wide, "plan_id").select("plan_id", F.concat(F.slice(F.concat("_v", zeros(room)), 1, room), F.array(*[F.col(f"_o{i}") for i in range(len(FILTER_TYPES))])).alias("features"))
 
 
-@query(
-    "filter_feature_vector",
+frame(
+    "shape_vector",
     f"""
 select plan_id, list_concat(list_slice(list_concat(v, list_transform(range(42), lambda i: 0.0::double)), 1, 42), o) as features from (
   select plan_id, flatten(list(codes order by leaf_id)) as v from (select plan_id, leaf_id, list_slice(list_concat(list(coalesce(list_position({CHANNEL_TYPES}, node_type), 0)::double order by node_id desc), list_transform(range(7), lambda i: 0.0::double)), 1, 7) as codes
     from (select l.plan_id, l.node_id as leaf_id, m.node_type, max(m.node_id) as node_id from plan_node l join plan_node m on l.leaf and m.plan_id = l.plan_id and starts_with(l.path, m.path) and (m.node_id > 0 or l.depth = 0) group by l.plan_id, l.node_id, m.node_type) group by plan_id, leaf_id) group by plan_id)
 join (select plan_id, [{', '.join(f"coalesce(max(most) filter (node_type = '{t}'), 0.0)" for t in FILTER_TYPES)}] as o from op_sel group by plan_id) using (plan_id)""",
 )
-def _(spark, sf_dir):
-    from ..operators.cost import table_rows
 
-    nodes = nodes_of(spark, sf_dir)
-    return filter_feature_vector(query_shapes(nodes), operator_selectivities(nodes, table_rows(spark, sf_dir)))
+
+#: The codes of a column's place in a query, and columns of an index that a vector has room for.
+PLACES, PLACE_COLUMNS = {"order-by": 1, "group-by": 2, "selection": 3, "join": 4}, 2
+
+
+def index_filter_vectors(vectors: DataFrame, utility: DataFrame, shapes: DataFrame, indexes: DataFrame) -> DataFrame:
+    """plan_id, index_id, features: utility, 42 codes of the plan's leaves, 2 of the index's columns, 10 selectivities: 55 numbers.
+
+    vectors: plan_id, features as filter_feature_vector gives them. utility: plan_id, col, utility; an index has the
+    sum over its columns, 0 where the plan has none. shapes: query_id, index_id, shape; a column without a place has 0.
+    """
+    codes = F.create_map(*[F.lit(x) for place, code in PLACES.items() for x in (place, float(code))])
+    zeros = F.array_repeat(F.lit(0.0), PLACE_COLUMNS)
+    coded = F.transform(F.split("shape", ","), lambda p: F.coalesce(codes[p], F.lit(0.0)))
+    placed = shapes.select(F.col("query_id").alias("plan_id"), "index_id", F.slice(F.concat(coded, zeros), 1, PLACE_COLUMNS).alias("_p"))
+    each = indexes.select("index_id", F.explode("cols").alias("col"))
+    gains = placed.select("plan_id", "index_id").join(each, "index_id").join(utility, ["plan_id", "col"]).groupBy("plan_id", "index_id").agg(F.sum("utility").alias("_u"))
+    met = placed.join(gains, ["plan_id", "index_id"], "left").join(vectors, "plan_id")
+    room = SHAPE_LEAVES * SHAPE_STEPS
+    whole = F.concat(F.array(F.round(F.coalesce("_u", F.lit(0.0)), 6)), F.slice("features", 1, room), F.col("_p"), F.slice("features", room + 1, len(FILTER_TYPES)))
+    return met.select("plan_id", "index_id", whole.alias("features"))
+
+
+def filter_vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.candidates import candidates_of, indexes_of
+    from ..operators.cost import literals_of, table_rows
+    from ..operators.querylog import roles_of
+
+    nodes, rows = nodes_of(spark, sf_dir), table_rows(spark, sf_dir)
+    vectors = filter_feature_vector(query_shapes(nodes), operator_selectivities(nodes, rows))
+    shapes = index_shapes(candidates_of(spark, sf_dir), roles_of(spark, sf_dir), literals_of(spark, sf_dir))
+    return index_filter_vectors(vectors, plan_utility(nodes, rows), shapes, indexes_of(spark, sf_dir))
+
+
+@query(
+    "filter_feature_vector",
+    f"""
+select s.query_id as plan_id, s.index_id, list_concat(list_concat([round(coalesce(u.g, 0.0), 6)], list_slice(v.features, 1, 42)), list_concat(list_slice(list_concat(list_transform(string_split(s.shape, ','), lambda p: coalesce(list_position({list(PLACES)}, p), 0)::double), [0.0::double, 0.0::double]), 1, 2), list_slice(v.features, 43, 52))) as features
+from index_shape s join shape_vector v on v.plan_id = s.query_id left join (
+  select c.query_id, c.index_id, sum(x.utility) as g from (select query_id, index_id, unnest(cols) as col from candidate) c join column_utility x on x.plan_id = c.query_id and x.col = c.col group by c.query_id, c.index_id) u
+  on u.query_id = s.query_id and u.index_id = s.index_id""",
+)
+def _(spark, sf_dir):
+    """The 55 numbers of each plan and candidate index."""
+    return filter_vectors_of(spark, sf_dir)
 
 
 @query("filter_training_rows", "select query_id, index_id, round(1 - with_cost / without, 6) as label from single_cost where without > 0 and with_cost < without and not contains(index_id, ',')")
 def _(spark, sf_dir):
-    """Records with a gain, of single columns; each (query, index) once."""
     from ..operators.cost import singles_of
 
-    rows = singles_of(spark, sf_dir).where("without > 0 and with_cost < without and not contains(index_id, ',')")
+    return filter_training_rows(singles_of(spark, sf_dir))
+
+
+def filter_training_rows(singles: DataFrame) -> DataFrame:
+    """query_id, index_id, label: records with a gain, of single columns; each (query, index) once."""
+    rows = singles.where("without > 0 and with_cost < without and not contains(index_id, ',')")
     return rows.dropDuplicates(["query_id", "index_id"]).select("query_id", "index_id", F.round(1 - F.col("with_cost") / F.col("without"), 6).alias("label"))
 
 
@@ -532,7 +579,10 @@ def table_selectivity(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return least.join(F.broadcast(rows), "tab").select("plan_id", "tab", F.round(F.when(F.col("rows") > 0, F.least(F.lit(1.0), F.col("_read") / F.col("rows"))).otherwise(1.0), 6).alias("selectivity"))
 
 
-@query("table_selectivity_per_query", "select plan_id, tab, round(least(1.0, least_read / rows), 6) as selectivity from (select plan_id, relation as tab, min(plan_rows) as least_read from plan_node where relation != '' group by plan_id, relation) join (select distinct tab, rows from catalog) using (tab)")
+frame("read_share", "select plan_id, tab, round(least(1.0, least_read / rows), 6) as selectivity from (select plan_id, relation as tab, min(plan_rows) as least_read from plan_node where relation != '' group by plan_id, relation) join (select distinct tab, rows from catalog) using (tab)")
+
+
+@query("table_selectivity_per_query", "select * from read_share")
 def _(spark, sf_dir):
     from ..operators.cost import table_rows
 
@@ -551,8 +601,8 @@ def plan_utility(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return gains.groupBy("plan_id", "col").agg(F.sum("_g").alias("_g")).join(root, "plan_id").select("plan_id", "col", F.round(F.col("_g") / F.col("_root"), 6).alias("utility"))
 
 
-@query(
-    "plan_utility",
+frame(
+    "column_utility",
     f"""
 select g.plan_id, g.col, round(sum(g.gain) / any_value(r.total_cost), 6) as utility from (
   select n.plan_id, unnest(list_distinct(regexp_extract_all(cond, '([a-z]+_[a-z]+)', 1))) as col,
@@ -560,6 +610,9 @@ select g.plan_id, g.col, round(sum(g.gain) / any_value(r.total_cost), 6) as util
   from plan_node n left join (select distinct tab, rows from catalog) t on t.tab = n.relation left join (select plan_id, parent_id, exp(sum(ln(plan_rows))) as inputs from plan_node where parent_id >= 0 group by plan_id, parent_id) c on c.plan_id = n.plan_id and c.parent_id = n.node_id where cond != '') g
 join (select plan_id, total_cost from plan_node where node_id = 0) r on r.plan_id = g.plan_id where g.gain is not null group by g.plan_id, g.col""",
 )
+
+
+@query("plan_utility", "select * from column_utility")
 def _(spark, sf_dir):
     from ..operators.cost import table_rows
 
