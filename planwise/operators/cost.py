@@ -316,8 +316,8 @@ def combine_subsumed(rated: DataFrame) -> DataFrame:
     return done.withColumn("ratio", F.round(F.col("benefit") / F.col("size_bytes"), 6))
 
 
-@query(
-    "combine_subsumed",
+frame(
+    "combined",
     """
 select index_id, round(benefit + coalesce(taken, 0), 2) as benefit, size_bytes, width, round(round(benefit + coalesce(taken, 0), 2) / size_bytes, 6) as ratio from ratios
 left join (select taker, sum(benefit) as taken from (
@@ -325,6 +325,9 @@ left join (select taker, sum(benefit) as taken from (
   qualify row_number() over (partition by b.index_id order by a.ratio desc, a.width, a.index_id) = 1) group by taker) on taker = index_id
 where index_id not in (select b.index_id from ratios b join ratios a on starts_with(a.index_id, b.index_id || ',') and a.ratio > b.ratio)""",
 )
+
+
+@query("combine_subsumed", "select * from combined")
 def _(spark, sf_dir):
     return combine_subsumed(ratios_of(spark, sf_dir))
 
@@ -458,11 +461,23 @@ def _(spark, sf_dir):
     return select_benefit_greedy(ratios_of(spark, sf_dir), count=5)
 
 
-def recommendation(spark: SparkSession, sf_dir: str, budget_bytes: int = 500_000) -> DataFrame:
+#: The budget of the flagship query, in bytes.
+BUDGET = 500_000
+
+
+def recommendation(spark: SparkSession, sf_dir: str, budget_bytes: int = BUDGET) -> DataFrame:
     """The flagship: from the log to the indexes that fit a budget."""
     return select_benefit_greedy(combine_subsumed(ratios_of(spark, sf_dir)), budget_bytes)
 
 
-@query("recommendation")
+frame("fitting", f"select *, row_number() over (order by ratio desc, width, index_id) as turn from combined where size_bytes <= {BUDGET}")
+frame(
+    "filling",
+    f"""select 0::bigint as turn, 0::bigint as used, false as taken
+    union all select fitting.turn, used + case when used + size_bytes <= {BUDGET} then size_bytes else 0 end, used + size_bytes <= {BUDGET} from filling join fitting on fitting.turn = filling.turn + 1""",
+)
+
+
+@query("recommendation", "select row_number() over (order by turn)::int as place, index_id, benefit, size_bytes, ratio from filling join fitting using (turn) where taken")
 def _(spark, sf_dir):
     return recommendation(spark, sf_dir)

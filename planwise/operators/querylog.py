@@ -19,7 +19,8 @@ from .profile import vocabulary
 
 #: A catalog of so many columns is broadcast at the most; beyond, words meet columns in an equi-join.
 BROADCAST_COLUMNS = 20_000
-STOP_WORDS = ["select", "from", "where", "group", "by", "having", "order", "join", "on", "and", "or", "as", "sum", "count", "avg", "min", "max", "not", "in", "like", "limit", "asc", "desc"]
+#: The words that term vectors leave out.
+STOP_WORDS = ["as", "and", "or", "min", "max", "avg", "join", "on", "substr", "between", "count", "sum", "case", "then", "when", "end", "else", "select", "from", "where", "by", "cast", "in"]
 
 
 @derived

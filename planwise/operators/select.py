@@ -278,7 +278,7 @@ def _(spark, sf_dir):
     return sized_of(spark, sf_dir).select("index_id", "size_bytes").where("false")
 
 
-@query("selection_trace")
+@query("selection_trace", "select 1 as step, index_id, ratio as score, row_number() over (order by ratio desc, width, index_id) = 1 as chosen from combined")
 def _(spark, sf_dir):
     """Every candidate's score in the first round, and whether it was chosen."""
     rated = combine_subsumed(ratios_of(spark, sf_dir))
