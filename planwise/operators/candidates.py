@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..registry import query
 from ..sources import adapters
 from ..sources.adapters import derived
@@ -196,10 +197,10 @@ def bandit_arms(roles: DataFrame, selectivity: DataFrame, rows: DataFrame, width
     counts = predicates.groupBy("query_id", "tab").agg(F.count("*").alias("_n"))
     ordered = permutations(predicates, ["query_id"], width).join(counts, ["query_id", "tab"]).join(selectivity, ["query_id", "tab"], "left").join(large, "tab")
     worth = (1 - F.coalesce("selectivity", F.lit(1.0))) * F.col("width") / F.col("_n") * F.col("rows")
-    first = ordered.select("query_id", "index_id", F.round(worth, 4).alias("value"), (F.col("width") == F.col("_n")).alias("whole"))
+    first = ordered.select("query_id", "index_id", rounded(worth, 4).alias("value"), (F.col("width") == F.col("_n")).alias("whole"))
     payload = roles.where("role = 'payload'").join(counts, ["query_id", "tab"], "left_anti").groupBy("query_id", "tab", "col").agg(F.min("pos").alias("pos"))
     listed = payload.groupBy("query_id", "tab").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda x: x["col"]).alias("cols"))
-    second = listed.where(F.size("cols") <= width).join(large, "tab").select("query_id", index_id().alias("index_id"), F.round(PAYLOAD_WORTH * F.col("rows"), 4).alias("value"), F.lit(True).alias("whole"))
+    second = listed.where(F.size("cols") <= width).join(large, "tab").select("query_id", index_id().alias("index_id"), rounded(PAYLOAD_WORTH * F.col("rows"), 4).alias("value"), F.lit(True).alias("whole"))
     return first.union(second)
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators.querylog import prepared, term_space, tfidf, tfidf_sql
 from ..registry import query
 from ..sources.adapters import derived
@@ -358,7 +359,7 @@ def operator_selectivities(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     child = nodes.where("parent_id >= 0").groupBy("plan_id", F.col("parent_id").alias("node_id")).agg(F.exp(F.sum(F.ln("plan_rows"))).alias("_in"))
     met = nodes.join(F.broadcast(rows.withColumnRenamed("tab", "relation")), "relation", "left").join(child, ["plan_id", "node_id"], "left")
     s = F.when(F.col("node_type").isin(*SCANS), F.col("plan_rows") / F.col("rows")).when(F.col("node_type").isin(*JOINS, "Sort", "Aggregate"), F.col("plan_rows") / F.col("_in"))
-    return met.withColumn("_s", s).where("_s is not null").groupBy("plan_id", "node_type").agg(F.round(F.max("_s"), 6).alias("most"))
+    return met.withColumn("_s", s).where("_s is not null").groupBy("plan_id", "node_type").agg(rounded(F.max("_s"), 6).alias("most"))
 
 
 frame(
@@ -420,7 +421,7 @@ def index_filter_vectors(vectors: DataFrame, utility: DataFrame, shapes: DataFra
     gains = placed.select("plan_id", "index_id").join(each, "index_id").join(utility, ["plan_id", "col"]).groupBy("plan_id", "index_id").agg(F.sum("utility").alias("_u"))
     met = placed.join(gains, ["plan_id", "index_id"], "left").join(vectors, "plan_id")
     room = SHAPE_LEAVES * SHAPE_STEPS
-    whole = F.concat(F.array(F.round(F.coalesce("_u", F.lit(0.0)), 6)), F.slice("features", 1, room), F.col("_p"), F.slice("features", room + 1, len(FILTER_TYPES)))
+    whole = F.concat(F.array(rounded(F.coalesce("_u", F.lit(0.0)), 6)), F.slice("features", 1, room), F.col("_p"), F.slice("features", room + 1, len(FILTER_TYPES)))
     return met.select("plan_id", "index_id", whole.alias("features"))
 
 
@@ -576,7 +577,7 @@ def _(spark, sf_dir):
 def table_selectivity(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """plan_id, tab, selectivity: the least rows that a plan reads of a table over the table's, 1 at the most and for empty tables."""
     least = nodes.where("relation != ''").groupBy("plan_id", F.col("relation").alias("tab")).agg(F.min("plan_rows").alias("_read"))
-    return least.join(F.broadcast(rows), "tab").select("plan_id", "tab", F.round(F.when(F.col("rows") > 0, F.least(F.lit(1.0), F.col("_read") / F.col("rows"))).otherwise(1.0), 6).alias("selectivity"))
+    return least.join(F.broadcast(rows), "tab").select("plan_id", "tab", rounded(F.when(F.col("rows") > 0, F.least(F.lit(1.0), F.col("_read") / F.col("rows"))).otherwise(1.0), 6).alias("selectivity"))
 
 
 frame("read_share", "select plan_id, tab, round(least(1.0, least_read / rows), 6) as selectivity from (select plan_id, relation as tab, min(plan_rows) as least_read from plan_node where relation != '' group by plan_id, relation) join (select distinct tab, rows from catalog) using (tab)")
@@ -598,7 +599,7 @@ def plan_utility(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     scan = 1 - F.pow(1 - F.least(F.lit(1.0), F.col("plan_rows") / F.col("rows")), 1.0 / F.size("_c"))
     s = F.when(F.col("node_type").isin(*SCANS), scan).otherwise(F.least(F.lit(1.0), F.sqrt(F.col("plan_rows") / F.col("_in"))))
     gains = met.withColumn("_c", columns).withColumn("_g", (1 - s) * F.col("total_cost")).where("_g is not null").select("plan_id", F.explode("_c").alias("col"), "_g")
-    return gains.groupBy("plan_id", "col").agg(F.sum("_g").alias("_g")).join(root, "plan_id").select("plan_id", "col", F.round(F.col("_g") / F.col("_root"), 6).alias("utility"))
+    return gains.groupBy("plan_id", "col").agg(F.sum("_g").alias("_g")).join(root, "plan_id").select("plan_id", "col", rounded(F.col("_g") / F.col("_root"), 6).alias("utility"))
 
 
 frame(

@@ -32,6 +32,17 @@ def test_names_have_one_meaning_at_every_size(spark, sf_dir, monkeypatch):
     assert small[0] == [(1, "t", "col"), (1, "u", "ab"), (2, "u", "ab"), (3, "t", "o dd")]
 
 
+def test_shares_on_a_half_are_rounded_as_in_sql(spark):
+    """0.0039875 and 0.0001245 lie on a half at six places only as text; beyond 0.1 GB tables have such row counts."""
+    import duckdb
+
+    nodes = spark.createDataFrame([(1, 0, -1, "Seq Scan", 4785.0, "part"), (2, 0, -1, "Index Scan", 4482.0, "lineitem")], "plan_id long, node_id int, parent_id int, node_type string, plan_rows double, relation string")
+    rows = spark.createDataFrame([("part", 1_200_000), ("lineitem", 36_000_000)], "tab string, rows long")
+    want = duckdb.sql("select round(4785::double / 1200000, 6), round(4482::double / 36000000, 6)").fetchall()[0]
+    assert tuple(r["most"] for r in planlog.operator_selectivities(nodes, rows).orderBy("plan_id").collect()) == want
+    assert tuple(r["selectivity"] for r in planlog.table_selectivity(nodes, rows).orderBy("plan_id").collect()) == want
+
+
 def test_filter_vector_by_hand(spark):
     vectors = spark.createDataFrame([(1, [float(i) for i in range(52)])], "plan_id long, features array<double>")
     utility = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25)], "plan_id long, col string, utility double")
