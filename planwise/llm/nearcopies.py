@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: all pairs of 4/5 or more, and no other, by prefix filtering.
+"""Near copies by the Jaccard similarity of word shingles: all pairs of 4/5 or more, and no other, by fingerprints and then prefix filtering.
+
+Operator 5 (`simhash.near_duplicates`) goes first: its covering tables join texts whose fingerprints are near. A text
+and the least of its component are linked where their sets have 4/5. What fingerprints leave apart is met by prefixes.
 
 A text's set holds the XXH64 values of its word shingles. Two sets with a similarity of 4/5 share at
 least 4/5 of either, so in any order that holds for all sets they share one of the first n - ceil(4n/5) + 1
@@ -21,15 +24,13 @@ the least text hash; a row without an id stays only where no row of its componen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import join_skewed, keyed_fraction, materialize
-from .simhash import components, shingle_hashes
+from .simhash import components, near_duplicates, shingle_hashes
 
 #: The order's sample: this share of the texts, shingles seen so often in it, and so many of them at the most.
 SHARE, OFTEN, COMMON = 1 / 8, 4, 20_000
@@ -37,8 +38,8 @@ SHARE, OFTEN, COMMON = 1 / 8, 4, 20_000
 REACH, HUBS, CHAIN, CROWD = 7, 2, 2, 100_000
 #: Texts that a task remembers so as not to make their sets again.
 SEEN = 500_000
-#: Shingles of the sets that a task keeps while it compares, 8 bytes each.
-KEPT = 8_000_000
+#: Operator 5's shingles and bits, as its query has them.
+FINGERPRINT_WIDTH, FINGERPRINT_BITS = 4, 4
 #: The node of all texts without words; a column name that no input has.
 EMPTY, NODE = 0, "__copies_node"
 
@@ -149,43 +150,39 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.col("_na") + F.col("_nb"))).select("a", "b")
 
 
-def four_fifths(width: int):
-    """Of node, text, node, text: a similarity of 4/5 or more. A task keeps the sets that it has made, up to KEPT shingles."""
-
-    def of(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-
-        def made(node: int, text: pa.Scalar) -> np.ndarray:
-            nonlocal held
-            found = sets.get(node)
-            if found is None:
-                found = shingle_set(text.as_py(), width)
-                if held + len(found) > KEPT:
-                    sets.clear()
-                    held = 0
-                sets[node] = found
-                held += len(found)
-            return found
+def shingle_sets(width: int):
+    """A text's whole set."""
 
-        for a, one, b, two in batches:
-            out = []
-            for i, x, j, y in zip(a.to_pylist(), one, b.to_pylist(), two):
-                x, y = made(i, x), made(j, y)
-                out.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            yield pa.array(out, pa.bool_())
+    def of(texts: pa.Array) -> pa.Array:
+        return lists([shingle_set(t.as_py(), width) for t in texts])
 
-    return F.arrow_udf(of, "boolean")
+    return F.arrow_udf(of, "array<long>")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets have a similarity of 4/5 or more; written. texts: node, text, perhaps repeated."""
+    """Those of the pairs (a, b) whose whole sets have a similarity of 4/5 or more; written. texts: node, text, perhaps repeated. A text's set is made once."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(pairs.repartition(parts, "a", "b"), "copies-pairs")  # narrow rows; few files would be few tasks where the texts are broadcast
+    pairs = materialize(pairs.repartition(parts, "a", "b"), "copies-pairs")  # narrow rows; few files would be few tasks where the sets are broadcast
     met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    whole = materialize(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), "copies-texts")
-    one, two = (whole.select(F.col("node").alias(c), F.col("text").alias(f"_{c}")) for c in "ab")
-    return materialize(pairs.join(one, "a").join(two, "b").where(four_fifths(width)("a", "_a", "b", "_b")).select("a", "b"), "copies-links")
+    whole = texts.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_sets(width)("text").alias("hashes"))
+    whole = materialize(whole, "copies-sets")
+    one, two = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
+    four_fifths = 9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))
+    return materialize(pairs.join(one, "a").join(two, "b").where(four_fifths).select("a", "b"), "copies-links")
+
+
+def by_fingerprint(texts: DataFrame, width: int) -> DataFrame:
+    """a, b: what operator 5 joins by fingerprints, each node with the least of its component, as far as their sets are alike too; written. texts: node, text."""
+    once = materialize(texts.where(F.col("node") != EMPTY).dropDuplicates(["node"]), "copies-texts")
+    joined = near_duplicates(once, FINGERPRINT_WIDTH, FINGERPRINT_BITS, "node")
+    return alike(joined.where("component_id != doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), once, width)
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components. roots: node, root of the nodes that have one."""
+    for c in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_r{c}")), c, "left")
+    return pairs.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
 
 
 def open_crowds(there: DataFrame, roots: DataFrame) -> DataFrame:
@@ -216,7 +213,9 @@ def linked(marked: DataFrame, docs: DataFrame, width: int, text: str, shared) ->
     hot = [(int(h), 1 + int(c / SHARE) // CROWD) for h, c in zip(*shared.value) if c / SHARE > CROWD]
     rows = dealt(nodes, hot)
     met = materialize(first_meetings(rows.drop("at")), "copies-met")
-    edges = alike(promising(met.where("b is not null"), once), texts, width)
+    edges = by_fingerprint(texts, width)
+    joined = materialize(components(edges), "copies-roots")
+    edges = edges.union(alike(promising(apart(met.where("b is not null"), joined), once), texts, width))
     roots = materialize(components(edges), "copies-roots")
     crowds = met.where("b is null").select(F.col("a").alias("key"))
     if hot:

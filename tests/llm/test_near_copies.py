@@ -86,3 +86,24 @@ def test_the_stage_links_at_four_fifths_and_not_below(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
     kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
     assert kept == sorted([3 * c for c in range(30)] + [3 * c + 2 for c in range(30)])
+
+
+def test_fingerprints_link_first(spark, sf_dir, monkeypatch):
+    """The stage's links begin with those of operator 5, held against the whole sets; what they join is not met again."""
+    calls = []
+    own = nearcopies.near_duplicates
+
+    def noted(docs, width, radius, doc_id="doc_id", text="text"):
+        calls.append((width, radius))
+        return own(docs, width, radius, doc_id, text)
+
+    monkeypatch.setattr(nearcopies, "near_duplicates", noted)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(f"other{i}" for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == [1, 3]
+    assert calls == [(4, 4)]
+    texts = docs.select(nearcopies.text_node("text").alias("node"), "text")
+    links = nearcopies.by_fingerprint(texts, 5)
+    assert links.count() == 1
+    assert nearcopies.apart(links, links.select(F.col("b").alias("node"), F.col("a").alias("root"))).count() == 0
