@@ -51,8 +51,8 @@ STARTERS = regex.compile(
     "\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef]"
 )
 
-#: Pieces of each generation of the memo; two generations are kept, of some 300 bytes a piece.
-MEMO = 400_000
+#: Pieces of each generation of the memo; two generations are kept, of some 300 bytes a piece. A worker keeps them for all later stages.
+MEMO = 100_000
 
 
 class Memo(dict):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_skewed, keyed_fraction, materialize
+from .shared import join_skewed, keyed_fraction, materialize, slices
 from .simhash import components, near_duplicates, shingle_hashes
 
 #: The order's sample: this share of the texts, shingles seen so often in it, and so many of them at the most.
@@ -59,14 +59,19 @@ def text_node(text: str) -> Column:
     return F.when(F.col(text).rlike(r"[^\x20\t-\r]"), F.xxhash64(text)).otherwise(F.lit(EMPTY).cast("long"))
 
 
-def common_shingles(docs: DataFrame, width: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of several sampled texts, sorted, and their counts. Equal texts count once."""
+def shingle_sets(width: int):
+    """Of batches of node and text: node and hashes, the text's whole set."""
 
     def made(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), lists([shingle_set(t.as_py(), width) for t in batch.column(1)])], names=["node", "hashes"])
 
-    sampled = docs.where(keyed_fraction(F.col(text), F.lit(SHARE))).select(text_node(text), text).mapInArrow(made, "node long, hashes array<long>")
+    return made
+
+
+def common_shingles(docs: DataFrame, width: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of several sampled texts, sorted, and their counts. Equal texts count once."""
+    sampled = docs.where(keyed_fraction(F.col(text), F.lit(SHARE))).select(text_node(text), text).mapInArrow(shingle_sets(width), "node long, hashes array<long>")
     counts = sampled.dropDuplicates(["node"]).select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     rows = sorted((r["h"], r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -88,7 +93,7 @@ def marked_rows(docs: DataFrame, width: int, doc_id: str, text: str, shared) ->
 
     def made(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for given, t in zip(batch.column(1).to_pylist(), batch.column(2)):
                 hashes = np.empty(0, np.int64)
@@ -150,21 +155,12 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.col("_na") + F.col("_nb"))).select("a", "b")
 
 
-def shingle_sets(width: int):
-    """A text's whole set."""
-
-    def of(texts: pa.Array) -> pa.Array:
-        return lists([shingle_set(t.as_py(), width) for t in texts])
-
-    return F.arrow_udf(of, "array<long>")
-
-
 def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets have a similarity of 4/5 or more; written. texts: node, text, perhaps repeated. A text's set is made once."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = materialize(pairs.repartition(parts, "a", "b"), "copies-pairs")  # narrow rows; few files would be few tasks where the sets are broadcast
     met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    whole = texts.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_sets(width)("text").alias("hashes"))
+    whole = texts.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingle_sets(width), "node long, hashes array<long>")
     whole = materialize(whole, "copies-sets")
     one, two = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
     four_fifths = 9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))
@@ -172,10 +168,9 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def by_fingerprint(texts: DataFrame, width: int) -> DataFrame:
-    """a, b: what operator 5 joins by fingerprints, each node with the least of its component, as far as their sets are alike too; written. texts: node, text."""
-    once = materialize(texts.where(F.col("node") != EMPTY).dropDuplicates(["node"]), "copies-texts")
-    joined = near_duplicates(once, FINGERPRINT_WIDTH, FINGERPRINT_BITS, "node")
-    return alike(joined.where("component_id != doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), once, width)
+    """a, b: what operator 5 joins by fingerprints, each node with the least of its component, as far as their sets are alike too; written. texts: node, text, perhaps repeated; no text is shuffled for it."""
+    joined = near_duplicates(texts.where(F.col("node") != EMPTY), FINGERPRINT_WIDTH, FINGERPRINT_BITS, "node")
+    return alike(joined.where("component_id != doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, width)
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -40,6 +40,17 @@ def column_function(kind: str):
     return wrap
 
 
+#: Rows that a task's Python works on at a time where what it makes of a text is large.
+SLICE = 256
+
+
+def slices(batches):
+    """The record batches in parts of SLICE rows; so what is made of long texts is handed on before more is made."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def keyed_fraction(key: Column, share: Column) -> Column:
     """True for about that share of the keys, the same keys each time."""
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000

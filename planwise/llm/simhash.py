@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_skewed, materialize, partitions
+from .shared import join_skewed, materialize, partitions, slices
 
 SEED, BITS = 42, 64
 #: Larger buckets are dealt anew by another covering, of so many in all.
@@ -59,12 +59,14 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(width: int):
-    @F.arrow_udf("long")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(x.as_py(), width) for x in texts], pa.int64())
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp of docs (doc_id, text). Texts pass through Python and do not wait for their result in the JVM."""
 
-    return of
+    def made(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), width) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+
+    return docs.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def signed(x: int) -> int:
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int, radius: int, doc_id: str = "doc
     """doc_id, fp (signed fingerprint) and component_id, the least doc_id that links reach."""
     spark = docs.sparkSession
     text = F.col(text) if isinstance(text, str) else text
-    marked = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(width)(text).alias("fp")), "fingerprints")
+    marked = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), text.alias("text")), width), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     roots = components(links(nodes.select("fp").repartition(partitions(spark), "fp"), radius))
     rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
