@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
+import re
 import unicodedata
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heappushpop
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,12 @@ NEW_LOWER = (
 #: What the pattern's white space is; str.split() also parts at U+001C to U+001F.
 SPACES = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
+#: Below this character letters and digits are as the library has them; texts of such characters only are parted into words in one go.
+NARROW = 0x558
+WIDE = re.compile(f"[\\u{NARROW:04x}-\U0010ffff]")
+#: The pattern's white space below NARROW.
+NARROW_SPACES = "\\t-\\r \\x85\\xa0"
+
 #: Marks that the library, of an older Unicode version, neither reorders nor composes.
 STARTERS = regex.compile(
     "[\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
@@ -75,7 +82,7 @@ class Memo(dict):
 
 def composed(text: str) -> str:
     """Normalization form C as the library has it: starters of its own part the text."""
-    if unicodedata.is_normalized("NFC", text) and not STARTERS.search(text):
+    if unicodedata.is_normalized("NFC", text) and not (WIDE.search(text) and STARTERS.search(text)):
         return text
     out, at = [], 0
     for m in STARTERS.finditer(text):
@@ -84,6 +91,13 @@ def composed(text: str) -> str:
     return "".join([*out, unicodedata.normalize("NFC", text[at:])])
 
 
+def narrow_pattern(pattern: str) -> re.Pattern:
+    """The pattern for texts without WIDE characters, its classes spelled out; the module re is several times faster."""
+    for kind in ("\\p{L}", "\\p{N}"):
+        pattern = pattern.replace(kind, "".join(re.escape(chr(c)) for c in range(NARROW) if regex.fullmatch(kind, chr(c))))
+    return re.compile(pattern.replace("\\s", NARROW_SPACES))
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -100,13 +114,16 @@ class WordBpe:
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.specials.items()}
+        self.strings = strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.specials.items()}
         self.end = model["end_of_word_suffix"] or ""
-        #: By rank: the pair that merges and what it becomes; by pair, as one integer: its rank.
+        #: By rank: the pair that merges and what it becomes; by the pair's first and then its second: its rank. The last, empty one is of no symbol.
         self.merge = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in model["merges"]]
-        self.rank = {a << 20 | b: rank for rank, (a, b, _) in enumerate(self.merge)}
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(strings) + 2)]
+        for rank, (a, b, _) in enumerate(self.merge):
+            self.ranks[a][b] = rank
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(pattern)
+        self.narrow_words = narrow_pattern(pattern).findall
         for kind in ("\\p{L}", "\\p{N}"):
             pattern = pattern.replace(kind, f"[{kind}--[{NOT_YET_LETTERS}]]")
         self.wide_word = regex.compile(pattern, regex.V1)
@@ -114,46 +131,61 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [self.ids.get(symbols[b]) for b in range(256)]
         self.final = [self.ids.get(symbols[b] + self.end) for b in range(256)]
-        self.pieces = Memo(self.encode_piece, MEMO)
+        self.packed = {i: i.to_bytes(4, "little") for i in strings}
+        self.pieces = Memo(self.encode_piece, MEMO // 4)
+        self.words = Memo(self.encode_word, MEMO - MEMO // 4)
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their decoded text."""
         raw = word.encode("utf-8", "replace")
-        symbol = [self.inner[b] for b in raw]
+        inner = self.inner
+        symbol = [inner[b] for b in raw]
         symbol[-1] = self.final[raw[-1]]
         if None in symbol:
             symbol = [s for s in symbol if s is not None]
-        n, rank, merge = len(symbol), self.rank.get, self.merge
-        shift = max(10, n.bit_length())  # a heap entry is rank and position in one small integer
+        n, ranks, merge = len(symbol), self.ranks, self.merge
+        shift = 10 if n < 1024 else n.bit_length()  # a heap entry is rank and position in one small integer
         place = (1 << shift) - 1
-        heap = [r << shift | i for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (r := rank(a << 20 | b)) is not None]
+        symbol.append(-1)  # the neighbour beyond either end, which merges with none
+        heap, after = [], ranks[-1]
+        for i, b in enumerate(symbol, -1):
+            if b in after:
+                heap.append(after[b] << shift | i)
+            after = ranks[b]
         heapify(heap)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        left, right = list(range(-1, n)), list(range(1, n + 1))
         while heap:
             top = heappop(heap)
-            i = top & place
-            a, b, new = merge[top >> shift]
-            j = right[i]
-            if symbol[i] != a or j >= n or symbol[j] != b:
-                continue  # stale
-            symbol[i], symbol[j] = new, -1
-            right[i] = k = right[j]
-            if k < n:
+            while True:
+                i = top & place
+                a, b, new = merge[top >> shift]
+                j = right[i]
+                if symbol[i] != a or symbol[j] != b:
+                    break  # stale
+                symbol[i], symbol[j] = new, -1
+                right[i] = k = right[j]
                 left[k] = i
-                if (r := rank(new << 20 | symbol[k])) is not None:
-                    heappush(heap, r << shift | i)
-            if (h := left[i]) >= 0 and (r := rank(symbol[h] << 20 | new)) is not None:
-                heappush(heap, r << shift | h)
+                h, c = left[i], symbol[k]
+                before, after = ranks[symbol[h]], ranks[new]
+                if new in before:
+                    if c in after:
+                        heappush(heap, after[c] << shift | i)
+                    top = heappushpop(heap, before[new] << shift | h)
+                elif c in after:
+                    top = heappushpop(heap, after[c] << shift | i)
+                else:
+                    break
         ids = [s for s in symbol if s >= 0]
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        packed, strings = self.packed, self.strings
+        return b"".join([packed[s] for s in ids]), " ".join([strings[s] for s in ids])
 
     def encode_piece(self, piece: str) -> tuple[bytes, str]:
-        """The same of a piece between white space; its words are pieces themselves, and remembered as such."""
+        """The same of a piece between white space; its words are remembered by themselves too."""
         words = (self.word if piece.isascii() or max(piece) < "\u0558" else self.wide_word).findall(piece)
         if len(words) == 1:
-            return self.encode_word(words[0])
-        pieces = self.pieces
-        parts = [pieces[w] for w in words]
+            return self.words[words[0]]
+        known = self.words
+        parts = [known[w] for w in words]
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
@@ -173,6 +205,8 @@ class WordBpe:
             if max(text) > "\u1c88":
                 text = text.translate(NEW_LOWER)
         text = text.lower()
+        if text.isascii() or not WIDE.search(text):
+            return list(map(self.words.__getitem__, self.narrow_words(text)))
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             pieces = [p for p in regex.split(SPACES, text) if p]
         else:
@@ -183,8 +217,8 @@ class WordBpe:
         parts = self.parts(text) if text else None
         if not parts:
             return b"", ""
-        ids, strings = zip(*parts)
-        return b"".join(ids), " ".join(filter(None, strings))
+        flat = list(chain.from_iterable(parts))
+        return b"".join(flat[::2]), " ".join(filter(None, flat[1::2]))
 
     def encode(self, text: str | None) -> list[int]:
         return memoryview(self.encode_bytes(text)[0]).cast("I").tolist() if text else []

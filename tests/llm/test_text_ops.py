@@ -160,3 +160,15 @@ def test_warc_odd_records():
     assert block == b"t" and b"outlink: z" in records[0][3]
     assert warc.derive(warc.write_record([("WARC-Type", "warcinfo")], b"")) == []
     assert blocks("<p>a<b>b</b> &lt;c") == ["ab <c"]
+
+
+def test_narrow_texts_are_parted_at_once_as_the_library_parts_them(library):
+    own, rnd = bpe.WordBpe(PATH), random.Random(9)
+    every = "".join(map(chr, range(1, bpe.NARROW)))
+    texts = [every, " ".join(every), "a" * 3000 + ", " + "ab" * 2000, "it's 'sit' we'll'll", "Ⱥ Ⱦ"]
+    texts += ["".join(rnd.choice(every) for _ in range(rnd.randint(1, 80))) for _ in range(500)]
+    for text in texts:
+        check_bpe(library, own, text)
+    own = bpe.WordBpe(PATH)
+    own.encode("alpha, beta; alpha. (beta)")
+    assert len(own.pieces) == 0 and set(own.words) == {"alpha", "beta", ",", ";", ".", "(", ")"}
