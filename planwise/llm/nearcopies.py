@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_skewed, keyed_fraction, materialize, slices
+from .shared import join_skewed, keyed_fraction, materialize, maybe_among, scratch, slices
 from .simhash import components, near_duplicates, shingle_hashes
 
 #: The order's sample: this share of the texts, shingles seen so often in it, and so many of them at the most.
@@ -40,8 +40,8 @@ REACH, HUBS, CHAIN, CROWD = 7, 2, 2, 100_000
 SEEN = 500_000
 #: Operator 5's shingles and bits, as its query has them.
 FINGERPRINT_WIDTH, FINGERPRINT_BITS = 4, 4
-#: The node of all texts without words; a column name that no input has.
-EMPTY, NODE = 0, "__copies_node"
+#: The node of all texts without words; column names that no input has.
+EMPTY, NODE, MAYBE = 0, "__copies_node", "__copies_maybe"
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -155,16 +155,23 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.col("_na") + F.col("_nb"))).select("a", "b")
 
 
+def texts_of(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the nodes met, each once. Texts of other nodes go before the shuffle, but for few."""
+    few = maybe_among(texts, "node", met, MAYBE).where(MAYBE).select("node", "text")
+    return few.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets have a similarity of 4/5 or more; written. texts: node, text, perhaps repeated. A text's set is made once."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(pairs.repartition(parts, "a", "b"), "copies-pairs")  # narrow rows; few files would be few tasks where the sets are broadcast
-    met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    whole = texts.join(met, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingle_sets(width), "node long, hashes array<long>")
-    whole = materialize(whole, "copies-sets")
-    one, two = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
-    four_fifths = 9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))
-    return materialize(pairs.join(one, "a").join(two, "b").where(four_fifths).select("a", "b"), "copies-links")
+    spark = pairs.sparkSession
+    with scratch(spark):
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        pairs = materialize(pairs.repartition(parts, "a", "b"), "copies-pairs")  # narrow rows; few files would be few tasks where the sets are broadcast
+        met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+        whole = materialize(texts_of(met, texts).mapInArrow(shingle_sets(width), "node long, hashes array<long>"), "copies-sets")
+        one, two = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
+        four_fifths = 9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))
+        return materialize(pairs.join(one, "a").join(two, "b").where(four_fifths).select("a", "b"), "copies-links", keep=True)
 
 
 def by_fingerprint(texts: DataFrame, width: int) -> DataFrame:
@@ -223,16 +230,17 @@ def linked(marked: DataFrame, docs: DataFrame, width: int, text: str, shared) ->
 
 def copies(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node, rows (how many have both), component, keeps (its component's winner), component_id: each pair of id and text once; written."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, text))
-    marked = materialize(marked_rows(docs, width, doc_id, text, shared), "copies-marked")
-    roots = linked(marked, docs, width, text, shared)
-    own = materialize(marked.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "copies-own")
-    often = own.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "n")
-    placed = materialize(join_skewed(own, often, "node", "n").select("doc_id", "node", "rows", "component"), "copies-placed")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
-    winners = placed.groupBy("component").agg(first.alias("w"), F.count("*").alias("n")).select("component", F.col("w.doc_id").alias("component_id"), F.col("w.node").alias("_node"), "n")
-    keeps = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("_node"))
-    return materialize(join_skewed(placed, winners, "component", "n").select("doc_id", "node", "rows", "component", keeps.alias("keeps"), "component_id"), "copies-found")
+    with scratch(docs.sparkSession):
+        shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, text))
+        marked = materialize(marked_rows(docs, width, doc_id, text, shared), "copies-marked")
+        roots = linked(marked, docs, width, text, shared)
+        own = materialize(marked.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "copies-own")
+        often = own.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "n")
+        placed = materialize(join_skewed(own, often, "node", "n").select("doc_id", "node", "rows", "component"), "copies-placed")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+        winners = placed.groupBy("component").agg(first.alias("w"), F.count("*").alias("n")).select("component", F.col("w.doc_id").alias("component_id"), F.col("w.node").alias("_node"), "n")
+        keeps = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("_node"))
+        return materialize(join_skewed(placed, winners, "component", "n").select("doc_id", "node", "rows", "component", keeps.alias("keeps"), "component_id"), "copies-found", keep=True)
 
 
 def near_copies(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,8 +254,9 @@ def without_near_copies(docs: DataFrame, width: int = 5, doc_id: str = "doc_id",
     found = copies(docs, width, doc_id, text)
     gone = found.where("not keeps or rows > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     again = found.where("keeps and rows > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    here = docs.withColumn(NODE, text_node(text))
+    here = maybe_among(docs.withColumn(NODE, text_node(text)), NODE, found.where("not keeps or rows > 1").select("node"), MAYBE)
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(NODE) == F.col("_node"))
-    once = here.join(gone, same, "left_anti")
-    repeated = here.join(again, same, "left_semi").dropDuplicates([doc_id, NODE])
-    return once.unionByName(repeated).drop(NODE)
+    single, perhaps = here.where(~F.col(MAYBE)), here.where(MAYBE)
+    once = perhaps.join(gone, same, "left_anti")
+    repeated = perhaps.join(again, same, "left_semi").dropDuplicates([doc_id, NODE])
+    return single.unionByName(once).unionByName(repeated).drop(NODE, MAYBE)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,9 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor costs a re-read only."""
+#: The tables of each scratch() that is open, the innermost last.
+OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("OPEN", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialize() wrote in it, but those that it kept. No frame that reads them may be used later."""
+    mine: list[str] = []
+    token = OPEN.set((*OPEN.get(), mine))
+    try:
+        yield
+    finally:
+        OPEN.reset(token)
+        for name in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor costs a re-read only.
+
+    In a scratch() the table goes with it; with keep it goes with the next outer one, if there is one.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for tables in OPEN.get()[: -1 if keep else None][-1:]:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,6 +105,22 @@ def running_total(df: DataFrame, group: list[str], chunk: Column, order: list, t
     return joined.withColumns({out: F.col(out) + F.col(f"__total_to_{out}") for out in totals}).drop("__total_chunk", *keys, *[f"__total_to_{out}" for out in totals])
 
 
+#: Words of 64 bits of a filter of keys; it is broadcast, and no larger than this for any number of keys.
+WORDS = 1 << 18
+#: Columns of the filter, which no input has.
+AT, WORD, FILLED = "__filter_at", "__filter_word", "__filter_bits"
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """rows with the column flag: true where the key is in keys (one column), and for few others; so only these need a join, and the rest no shuffle."""
+    place = F.pmod(F.xxhash64(F.col(key), F.lit("filter")), F.lit(64 * WORDS))
+    word, bit = F.shiftright(AT, 6), (F.col(AT) % 64).cast("int")
+    places = keys.toDF(key).select(place.alias(AT)).select(word.alias(WORD), bit.alias(AT))
+    words = places.groupBy(WORD).agg(F.bit_or(F.expr(f"shiftleft(1L, {AT})")).alias(FILLED))  # WORDS rows at the most
+    met = rows.withColumn(AT, place).withColumn(WORD, word).join(F.broadcast(words), WORD, "left")
+    return met.withColumn(flag, F.coalesce(F.getbit(FILLED, bit) == 1, F.lit(False))).drop(AT, WORD, FILLED)
+
+
 #: A key is hot if more than one row in HOT has it; so there are fewer than HOT of them, and they may be broadcast.
 HOT = 1000
 
