@@ -132,8 +132,8 @@ class WordBpe:
         self.inner = [self.ids.get(symbols[b]) for b in range(256)]
         self.final = [self.ids.get(symbols[b] + self.end) for b in range(256)]
         self.packed = {i: i.to_bytes(4, "little") for i in strings}
-        self.pieces = Memo(self.encode_piece, MEMO // 4)
-        self.words = Memo(self.encode_word, MEMO - MEMO // 4)
+        self.pieces = Memo(self.encode_piece, MEMO // 20)
+        self.words = Memo(self.encode_word, MEMO - MEMO // 20)
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their decoded text."""
@@ -154,7 +154,8 @@ class WordBpe:
             after = ranks[b]
         heapify(heap)
         left, right = list(range(-1, n)), list(range(1, n + 1))
-        while heap:
+        live = len(heap)  # entries that are not stale
+        while live:
             top = heappop(heap)
             while True:
                 i = top & place
@@ -167,6 +168,7 @@ class WordBpe:
                 left[k] = i
                 h, c = left[i], symbol[k]
                 before, after = ranks[symbol[h]], ranks[new]
+                live += (new in before) - (a in before) + (c in after) - (c in ranks[b]) - 1
                 if new in before:
                     if c in after:
                         heappush(heap, after[c] << shift | i)
