@@ -207,6 +207,13 @@ def crowd_meetings(crowds: DataFrame) -> DataFrame:
     return out.join(all_, apart).select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
 
 
+def joined_by(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) of what the roots' stars and the pairs (a, b) join; written. Both are written."""
+    if not pairs.limit(1).count():
+        return roots
+    return materialize(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(pairs)), "copies-roots")
+
+
 def linked(marked: DataFrame, docs: DataFrame, width: int, text: str, shared) -> DataFrame:
     """(node, root) of all nodes that have a near copy. marked: as marked_rows gives it, written."""
     nodes = marked.where(F.size("prefix") > 0).select("node", "n", "prefix")
@@ -215,17 +222,14 @@ def linked(marked: DataFrame, docs: DataFrame, width: int, text: str, shared) ->
     hot = [(int(h), 1 + int(c / SHARE) // CROWD) for h, c in zip(*shared.value) if c / SHARE > CROWD]
     rows = dealt(nodes, hot)
     met = materialize(first_meetings(rows.drop("at")), "copies-met")
-    edges = by_fingerprint(texts, width)
-    joined = materialize(components(edges), "copies-roots")
-    edges = edges.union(alike(promising(apart(met.where("b is not null"), joined), once), texts, width))
-    roots = materialize(components(edges), "copies-roots")
+    joined = materialize(components(by_fingerprint(texts, width)), "copies-roots")
+    roots = joined_by(joined, alike(promising(apart(met.where("b is not null"), joined), once), texts, width))
     crowds = met.where("b is null").select(F.col("a").alias("key"))
     if hot:
         crowds = crowds.union(marked.sparkSession.createDataFrame([(h,) for h, _ in hot], "key long"))
     there = materialize(rows.join(crowds.distinct(), "key").dropDuplicates(["key", "node"]).select("key", "node", "n", "at"), "copies-crowds")
     rest = materialize(promising(crowd_meetings(open_crowds(there, roots)), once), "copies-rest")
-    more = alike(rest, texts, width)
-    return materialize(components(edges.union(more)), "copies-roots") if more.limit(1).count() else roots
+    return joined_by(roots, alike(rest, texts, width))
 
 
 def copies(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,9 +240,11 @@ def copies(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str =
         roots = linked(marked, docs, width, text, shared)
         own = materialize(marked.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "copies-own")
         often = own.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "n")
+        often = materialize(often, "copies-often")
         placed = materialize(join_skewed(own, often, "node", "n").select("doc_id", "node", "rows", "component"), "copies-placed")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
         winners = placed.groupBy("component").agg(first.alias("w"), F.count("*").alias("n")).select("component", F.col("w.doc_id").alias("component_id"), F.col("w.node").alias("_node"), "n")
+        winners = materialize(winners, "copies-winners")
         keeps = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("_node"))
         return materialize(join_skewed(placed, winners, "component", "n").select("doc_id", "node", "rows", "component", keeps.alias("keeps"), "component_id"), "copies-found", keep=True)
 

@@ -129,15 +129,14 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataF
     """The inner join on key. right has each key once; its column rows says how often left has it, and is dropped.
 
     Hot keys meet in a broadcast join of fewer than HOT rows, so no task gets more than 1/HOT of left for one key.
+    right is read several times, so it should be written. No key comes to the driver or into the plan.
     """
     total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
     hot, rest = right.where(F.col(rows) * HOT > total).drop(rows), right.where(F.col(rows) * HOT <= total).drop(rows)
-    few = hot.count()
-    if not few:
+    if not hot.limit(1).count():
         return left.join(rest, key)
-    keys = [r[0] for r in hot.select(key).collect()]  # fewer than HOT
-    is_hot = F.col(key).isin(keys)
-    return left.where(is_hot).join(F.broadcast(hot), key).union(left.where(~is_hot).join(rest, key))
+    others = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).union(others.join(rest, key))
 
 
 def partitions(spark: SparkSession) -> int:

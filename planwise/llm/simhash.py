@@ -150,7 +150,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): every node of an edge but the least of its component, with that. edges: a, b, longs.
 
     Large-star hangs each node's larger neighbours on the least one, small-star its smaller ones;
-    the stars that stay unchanged are the components. Each round is written, so lineage stays short.
+    edges that are stars are the components, so no round has to confirm them. Each round is written, so lineage stays short.
     """
 
     def least(both: DataFrame) -> DataFrame:
@@ -163,22 +163,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def small(now: DataFrame) -> DataFrame:
         up = now.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = least(up)
-        hung = up.join(low, "u").select("m", "v").union(low.select("m", F.col("u").alias("v")))
-        return hung.where("m != v").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        own = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))  # the least neighbour's row is the node's own
+        return up.join(least(up), "u").select(F.col("m").alias("a"), own.alias("b"))
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def are_stars(now: DataFrame) -> bool:
+        """Whether every b has one a, which is no b."""
+        ends = now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("root")))
+        of = ends.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("root").alias("below"), F.count("*").alias("n"))
+        return not of.where("lo != hi or (below > 0 and below < n)").agg(F.count("*")).first()[0]
 
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     now = materialize(now, "links")
-    before = state(now)
     for _ in range(rounds):
-        now = materialize(small(large(now).distinct()).distinct(), "stars")
-        after = state(now)
-        if after == before:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = after
+        if are_stars(now):
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
+        now = materialize(small(large(now).distinct()), "stars")
     raise RuntimeError(f"components were not done after {rounds} rounds")
 
 
@@ -190,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int, radius: int, doc_id: str = "doc
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     roots = components(links(nodes.select("fp").repartition(partitions(spark), "fp"), radius))
     rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ids")
     named = materialize(join_skewed(rooted.select("root", "fp", "rows"), ids, "root", "n").select("fp", "component_id", "rows"), "components")
     return join_skewed(marked, named, "fp", "rows").select("doc_id", "fp", "component_id")
 
